@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import merkle, mix, simhash, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +22,95 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+ORACLE["op4_exact_top_k"] = """
+WITH flat AS (
+  SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings
+), bad AS (
+  SELECT DISTINCT vec_id FROM flat WHERE x IS NULL OR NOT isfinite(x)
+), ints AS (
+  SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM flat WHERE vec_id NOT IN (SELECT vec_id FROM bad)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.i = c.i AND q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix.mixed(table(spark, sf_dir, "documents"), share=(1, 2), epochs=2)
+    return out.select("doc_id", "domain", F.col("lang_group").alias("lang"), F.col("source_group").alias("source"), "tokens", "epoch")
+
+
+def _deal_sql(name: str, parent: list[str], own: str, feed: str) -> str:
+    """One level of the water-filling: ``feed`` has parent..., own, cap, weight, budget."""
+    by = f"PARTITION BY {', '.join(parent)}" if parent else ""
+    keys = ", ".join([*parent, own])
+    order = f"{by} ORDER BY CAST(cap AS DOUBLE) / weight, {own}"
+    return f"""
+{name}_a AS (
+  SELECT *, coalesce(sum(cap) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM ({feed})
+), {name}_b AS (
+  SELECT *, CAST(cap AS HUGEINT) * rest <= CAST(weight AS HUGEINT) * (budget - before) AS filled FROM {name}_a
+), {name}_c AS (
+  SELECT *, budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER ({by}), 0) AS remain,
+    sum(CASE WHEN NOT filled THEN weight END) OVER ({by}) AS open
+  FROM {name}_b
+), {name} AS (
+  SELECT {keys}, CASE WHEN filled THEN cap ELSE CAST(weight * remain // open AS BIGINT) END AS got FROM {name}_c
+)"""
+
+
+def _weight_sql(level: str, column: str) -> str:
+    cases = " ".join(f"WHEN {column} = '{k}' THEN {v}" for k, v in mix.WEIGHTS[level].items())
+    return f"CASE {cases} ELSE 1 END" if cases else "1"
+
+
+ORACLE["op3_mix_to_target_weights"] = f"""
+WITH meta AS (
+  SELECT doc_id, 'domain' || coalesce(CAST(CAST(nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '') AS BIGINT) % 3 AS VARCHAR), '_none') AS domain,
+    coalesce(lang, '_none') AS lang, coalesce(source, '_none') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D ]+')) AS BIGINT) AS tokens
+  FROM documents
+), leaf AS (
+  SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) * 2 AS BIGINT) AS cap,
+    {_weight_sql("domain", "domain")} AS w1, {_weight_sql("lang_group", "lang")} AS w2, 1 AS w3
+  FROM meta GROUP BY domain, lang, source
+), {_deal_sql("d1", [], "domain", "SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, max(w1) AS weight, (SELECT CAST(floor(sum(tokens) / 2) AS BIGINT) FROM leaf) AS budget FROM leaf GROUP BY domain").strip()},
+{_deal_sql("d2", ["domain"], "lang", "SELECT x.*, got AS budget FROM (SELECT domain, lang, CAST(sum(cap) AS BIGINT) AS cap, max(w2) AS weight FROM leaf GROUP BY domain, lang) x JOIN d1 USING (domain)").strip()},
+{_deal_sql("d3", ["domain", "lang"], "source", "SELECT domain, lang, source, cap, w3 AS weight, got AS budget FROM leaf JOIN d2 USING (domain, lang)").strip()},
+part AS (
+  SELECT domain, lang, source, CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END AS whole,
+    got - CASE WHEN tokens > 0 THEN got // tokens ELSE 0 END * tokens AS part
+  FROM leaf JOIN d3 USING (domain, lang, source)
+), hashed AS (
+  SELECT *, md5('{mix.SEED}:' || CAST(whole AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM meta JOIN part USING (domain, lang, source)
+), summed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS upto FROM hashed
+), counted AS (
+  SELECT *, whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS n FROM summed
+)
+SELECT doc_id, domain, lang, source, tokens, unnest(range(n)) AS epoch FROM counted WHERE n > 0
+"""
