@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mix, simhash, topk
+from . import merkle, mix, pii, simhash, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,9 @@ part AS (
 )
 SELECT doc_id, domain, lang, source, tokens, unnest(range(n)) AS epoch FROM counted WHERE n > 0
 """
+
+
+@query
+def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnRenamed("__n", "n_replaced")
