@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import persist, text_bytes
@@ -104,7 +104,8 @@ def groups(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     ``fps``: ``(fp, n)``, distinct, n its number of documents.
     """
     keys = ["slot", "part"]
-    v = variants(fps, max_bits)
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = variants(fps.repartition(tasks, "fp"), max_bits)  # 64 rows each: not the few tasks that fps fits in
     top = v.groupBy(*keys).agg(F.max(F.struct("n", "fp")).alias("top"), F.count("*").alias("m")).where("m > 1")
     top = top.select(*keys, F.col("top.fp").alias("leader"))
     hit = (F.col("x.slot") == F.col("t.slot")) & (F.col("x.part") == F.col("t.part"))
@@ -118,9 +119,9 @@ def groups(fps: DataFrame, max_bits: int = 4) -> DataFrame:
         .join(first, fps.fp == first.node, "left")
         .select("fp", F.coalesce("root", "fp").alias("root"))
     )
-    w = variants(placed, max_bits)
-    mixed = w.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select(*keys)
-    left = w.join(mixed, keys, "left_semi")
+    within = Window.partitionBy(*keys)
+    w = variants(placed.repartition(tasks, "fp"), max_bits).select("*", F.min("root").over(within).alias("lo"), F.max("root").over(within).alias("hi"))
+    left = w.where("lo < hi").select(*keys, "fp", "root")
     same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.part") == F.col("y.part"))
     pairs = left.alias("x").join(
         left.alias("y"),
