@@ -1,4 +1,64 @@
-STAGES = []
+"""The corpus pipeline: documents in, token ids of a deduplicated, cleaned and mixed corpus out.
+
+Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; its rows
+are written as Parquet and read again before the next stage.  All stages but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestar.llm import mix, pieces, pii, quality, simhash
+from lodestar.llm.common import table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies keep the document with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal numbers, dates and addresses by pseudonyms."""
+    return pii.pseudonymise(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take sources to their target weights: half of all tokens, no document twice."""
+    return mix.mix(docs, share=(1, 2), epochs=1)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return pieces.tokenised(docs, pieces.load(), ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", near_deduplicated),
+    ("PII", pseudonymised),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding", tokenised),
+]
+
+#: The classifier and the tokenizer are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to the documents of ``sf_dir``."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs
