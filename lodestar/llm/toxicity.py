@@ -38,7 +38,7 @@ CALIBRATION = 3
 #: Lengths of beginnings, in bytes; a telling unit stands in so many different places at least,
 #: in so many for each toxic document, and so many times as often as in ordinary text.
 GAINS = 8
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 400_000
 STEMS = (4, 5, 6, 7, 8, 9)
 LEAST_PLACES, LEAST_SHARE, LEAST_RATIO = 6, 0.01, 8
 _WORD = re.compile(rb"[^\x00-\x20!-/:-@\[-`{-\x7f]+")
@@ -48,9 +48,8 @@ def words(text: str) -> list[bytes]:
     return _WORD.findall(text.lower().encode("utf-8", "replace"))
 
 
-def windows(text: str, width: int) -> list[bytes]:
-    w = words(text)
-    return [CARRIER + b" " + b" ".join(w[i : i + width]) + b" " for i in range(0, len(w), width)]
+def window(some: list[bytes]) -> bytes:
+    return CARRIER + b" " + b" ".join(some) + b" "
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -112,29 +111,31 @@ class ToxicityModel:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_pair": None, "_known": {}}
 
-    def savings(self, text: str, width: int) -> np.ndarray:
-        """Bytes that the toxic dictionary saves in each window."""
+    def savings(self, w: list[bytes], width: int) -> np.ndarray:
+        """Bytes that the toxic dictionary saves in each window of ``width`` of the words."""
         if self._pair is None:
             ends = bytes(len(self.toxic)) + CARRIER, self.toxic + CARRIER
             self._pair = _compressor(self.ordinary + ends[0]), _compressor(self.ordinary + ends[1])
         a, b = self._pair[0].compress, self._pair[1].compress
         if width > 1:
-            return np.array([len(a(w)) - len(b(w)) for w in windows(text, width)], np.int64)
+            cut = [window(w[i : i + width]) for i in range(0, len(w), width)]
+            return np.array([len(a(x)) - len(b(x)) for x in cut], np.int64)
         known = self._known
         if len(known) > KNOWN_WORDS:
             known.clear()
         out = []
-        for w in windows(text, width):
-            gain = known.get(w)
+        for x in w:
+            gain = known.get(x)
             if gain is None:
-                gain = known[w] = len(a(w)) - len(b(w))
+                one = window([x])
+                gain = known[x] = len(a(one)) - len(b(one))
             out.append(gain)
         return np.array(out, np.int64)
 
     def features(self, text: str) -> np.ndarray:
-        out = []
+        out, w = [], words(text)
         for width, threshold in zip(WIDTHS, self.thresholds, strict=True):
-            s = self.savings(text, width)
+            s = self.savings(w, width)
             if not len(s):
                 return np.zeros(len(WIDTHS) * (5 + GAINS))
             hit = int((s >= threshold).sum())
@@ -184,7 +185,7 @@ def fit_texts(sample: list[tuple[str, int]]) -> ToxicityModel:
     toxic = _train(tell, TOXIC_BYTES, 6, 16)
     model = ToxicityModel(ordinary, toxic, [], np.zeros(0), prior)
     for width in WIDTHS:
-        usual = np.concatenate([model.savings(t, width) for t in held[0]] + [np.zeros(1, np.int64)])
+        usual = np.concatenate([model.savings(words(t), width) for t in held[0]] + [np.zeros(1, np.int64)])
         model.thresholds.append(max(2, int(np.quantile(usual, 1 - 0.01 / np.sqrt(WIDTHS[0] / width))) + 1))
     texts, y = held[0] + held[1], np.array([0.0] * len(held[0]) + [1.0] * len(held[1]))
     model.weights = _logistic(np.array([model.features(t) for t in texts]), y)
