@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,7 +133,7 @@ class Store:
         try:
             raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             return Manifest(**json.loads(raw))
-        except (ValueError, TypeError):
+        except (ValueError, TypeError, Py4JJavaError):  # the last: a checksum that does not fit
             return Manifest()
         finally:
             stream.close()
