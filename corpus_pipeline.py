@@ -22,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies keep the document with the smallest id."""
+    """Of each group of near copies (five words, similarity 0.8) keep the document with the smallest id."""
     return simhash.keep_one(docs)
 
 

@@ -9,7 +9,7 @@ from lodestar.llm.queries import ORACLE, QUERIES
 from tests.llm.test_mix import brute as mix_brute
 from tests.llm.test_mix import row as mix_row
 from tests.llm.test_pii import brute as pii_brute
-from tests.llm.test_simhash import brute_components, brute_fp
+from tests.llm.test_simhash import brute_similar
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,7 +30,7 @@ def test_stages_against_brute_force(spark, docs):
 
     unique = stages[1](spark, good, SF)
     assert unique.columns == COLUMNS
-    root = brute_components([(r.doc_id, brute_fp(r.text, 4)) for r in kept], 4)
+    root = brute_similar({r.doc_id: r.text for r in kept})
     one = [r for r in kept if root[r.doc_id] == r.doc_id]
     assert sorted(unique.collect()) == sorted(one) and len(one) < len(kept)
 
