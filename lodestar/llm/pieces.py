@@ -38,7 +38,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _ALL = (1 << 64) - 1
 _START = -1
 #: Words and pairs remembered by one Python worker before it starts afresh.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 2_000_000
+KEPT_WORDS, KEPT_PAIRS = 600_000, 2_000_000
+_SIEVE, _RECENT = 1 << 19, 1 << 20
 _WORDS_AT_ONCE = 20_000
 
 
@@ -112,6 +113,8 @@ class PieceModel:
         self.keys, self.ids = keys[order], np.array(usable, np.int64)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
+        self.sieve = np.zeros(_SIEVE, bool)  # which low bits of a hash occur at all
+        self.sieve[(self.keys & np.uint64(_SIEVE - 1)).astype(np.int64)] = True
         self.powers = np.array([pow(_BASE, i, 1 << 64) for i in range(self.longest + 1)], np.uint64)
         joined = {c for p in self.number if len(p) > 1 for c in p} - {MARK}
         crosses = any(MARK in p.lstrip(MARK) for p in self.number)
@@ -120,6 +123,7 @@ class PieceModel:
         raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.raw = raw
         self.pair_keys, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.recent, self.recent_good = np.full(_RECENT, -1, np.int64), np.zeros(_RECENT, bool)
         self._forget()
         self._ready = True
 
@@ -154,29 +158,43 @@ class PieceModel:
     def _stable(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of tokens, joined and encoded alone, comes out as itself."""
         keys = left << 32 | right
+        slot = (keys * 0x9E3779B1 ^ keys >> 29) & (_RECENT - 1)
+        good = self.recent_good[slot]
+        new = np.flatnonzero(self.recent[slot] != keys)
+        if len(new):
+            good[new] = self._looked_up(keys[new])
+            self.recent[slot[new]] = keys[new]
+            # of several pairs for one slot the last stays, in both tables
+            self.recent_good[slot[new]] = good[new]
+        return good
+
+    def _looked_up(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.pair_keys, keys)
         at[at == len(self.pair_keys)] = 0
         known = self.pair_keys[at] == keys if len(self.pair_keys) else np.zeros(len(keys), bool)
-        if not known.all():
-            fresh = np.unique(keys[~known])
-            good = np.zeros(len(fresh), bool)
-            for i, key in enumerate(fresh.tolist()):
-                a, b = self._text_of(key >> 32), self._text_of(key & 0xFFFFFFFF)
-                good[i] = self.merge(a + b) == [a, b]
-            keep = len(self.pair_keys) <= KEPT_PAIRS
-            every = np.concatenate([self.pair_keys, fresh]) if keep else np.unique(np.concatenate([fresh, keys[known]]))
-            if keep:
-                order = np.argsort(every, kind="stable")
-                self.pair_keys, self.pair_good = every[order], np.concatenate([self.pair_good, good])[order]
-            else:  # start afresh with what is needed here
-                old = dict(zip(keys[known].tolist(), self.pair_good[at[known]].tolist(), strict=True))
-                old |= dict(zip(fresh.tolist(), good.tolist(), strict=True))
-                self.pair_keys, self.pair_good = every, np.array([old[k] for k in every.tolist()], bool)
-            at = np.searchsorted(self.pair_keys, keys)
-        return self.pair_good[at]
-
-    def _viterbi(self, points: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-        """Tokens of words, one a row; places beyond a word's length hold zeros."""
+        if known.all():
+            return self.pair_good[at]
+        fresh = np.unique(keys[~known])
+        good = np.zeros(len(fresh), bool)
+        for i, key in enumerate(fresh.tolist()):
+            a, b = self._text_of(key >> 32), self._text_of(key & 0xFFFFFFFF)
+            good[i] = self.merge(a + b) == [a, b]
+        out = np.zeros(len(keys), bool)
+        out[known] = self.pair_good[at[known]]
+        out[~known] = good[np.searchsorted(fresh, keys[~known])]
+        if len(self.pair_keys) > KEPT_PAIRS:
+            self.pair_keys, self.pair_good = fresh, good
+        else:
+            every = np.concatenate([self.pair_keys, fresh])
+            order = np.argsort(every, kind="stable")
+            self.pair_keys, self.pair_good = every[order], np.concatenate([self.pair_good, good])[order]
+        return out
+
+    def _viterbi(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words, one a row, one word's after another's, and how many each has.
+
+        Places beyond a word's length hold zeros.
+        """
         n, width = points.shape
         hashes = np.zeros((n, width + 1), np.uint64)
         base = np.uint64(_BASE)
@@ -190,9 +208,12 @@ class PieceModel:
         for j in range(1, width + 1):
             most = min(j, self.longest)
             sub = hashes[:, j][:, None] - hashes[:, j - most : j][:, ::-1] * self.powers[1 : most + 1]
-            at = np.searchsorted(self.keys, sub)
+            token = np.full(sub.shape, -1)
+            maybe = np.nonzero(self.sieve[(sub & np.uint64(_SIEVE - 1)).view(np.int64)])
+            probe = sub[maybe]
+            at = np.searchsorted(self.keys, probe)
             at[at == len(self.keys)] = 0
-            token = np.where(self.keys[at] == sub, self.ids[at], -1) if len(self.keys) else np.full(sub.shape, -1)
+            token[maybe] = np.where(self.keys[at] == probe, self.ids[at], -1) if len(self.keys) else -1
             alone = token[:, 0] < 0  # a character without a piece of its own stands for itself
             token[alone, 0] = len(self.pieces) + points[alone, j - 1].astype(np.int64)
             score = np.full(token.shape, -np.inf)
@@ -215,7 +236,11 @@ class PieceModel:
             found[live, count[live]] = last[live, place[live]]
             count[live] += 1
             place[live] -= back[live, place[live]]
-        return [f[:c][::-1] for f, c in zip(found, count, strict=True)]
+        flat = found[:, ::-1][np.arange(width) >= (width - count)[:, None]]
+        if (flat < len(self.pieces)).all():
+            return flat, count
+        parts = [self._expand(p) for p in np.split(flat, np.cumsum(count)[:-1])]
+        return np.concatenate(parts), np.array(list(map(len, parts)))
 
     def _expand(self, tokens: np.ndarray) -> np.ndarray:
         """Characters without a piece become their bytes, or the unknown piece."""
@@ -239,16 +264,19 @@ class PieceModel:
         step = np.maximum(1, 2 ** np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1))) - 3)).astype(int)
         widths = np.where(sizes <= 32, sizes, -(-sizes // step) * step)
         found: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         lo = 0
         while lo < len(fresh):
             hi = int(np.searchsorted(widths, widths[lo], "right"))
             hi = min(hi, lo + max(1, min(_WORDS_AT_ONCE, 2_000_000 // int(widths[lo]))))
+            line = np.frombuffer("".join(fresh[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32)
             points = np.zeros((hi - lo, widths[lo]), np.uint64)
-            for i, w in enumerate(fresh[lo:hi]):
-                points[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
-            found += [self._expand(t) for t in self._viterbi(points, sizes[lo:hi])]
+            points[np.arange(widths[lo]) < sizes[lo:hi, None]] = line
+            tokens, count = self._viterbi(points, sizes[lo:hi])
+            found.append(tokens)
+            counts.append(count)
             lo = hi
-        new = np.array([len(f) for f in found], np.int64)
+        new = np.concatenate(counts)
         starts = len(self.flat) + np.concatenate([[0], np.cumsum(new)[:-1]])
         for i, w in enumerate(fresh):
             self.words[w] = len(self.starts) + i
