@@ -159,7 +159,11 @@ def score(docs: DataFrame, target: Counts, background: Counts) -> DataFrame:
 
 
 def labelled_target(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``(text, target)`` of every row: target where some label of its id is 1."""
+    """``(text, target)`` of every row: target where some label of its id is 1.
+
+    Both sides are dealt by id, whatever the size of the labels; only the ids are built into hash
+    tables, so texts move once and are not sorted.
+    """
     good = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__id"), "left")
+    joined = docs.select("doc_id", "text").join(good.hint("shuffle_hash"), F.col("doc_id") == F.col("__id"), "left")
     return joined.select("text", F.col("__id").isNotNull().alias("target"))
