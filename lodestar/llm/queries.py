@@ -55,6 +55,51 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+_PARAGRAPHS = "list_transform(range(1, len(string_split(s, chr(10))) + 1), lambda i: string_split(s, chr(10))[i] || CASE WHEN i < len(string_split(s, chr(10))) THEN chr(10) ELSE '' END)"
+_SECTIONS = r"list_concat(regexp_extract_all({t}, '(?s)(?:.*?\n\n+)|(?:.+)'), CASE WHEN {t} = '' OR {t} LIKE '%' || chr(10) || chr(10) THEN [''] ELSE [] END)"
+_LEAVES = r"list_transform(regexp_extract_all(p, '(?:\S{1,64}\s*){1,8}|\s+'), lambda x: sha256(x))"
+
+
+def _tree_sql(t: str, name: str) -> str:
+    """Root and distinct nodes of the tree of column ``t``."""
+    sections = f"list_transform({_SECTIONS.format(t=t)}, lambda s: list_transform({_PARAGRAPHS}, lambda p: {_LEAVES}))"
+    return f"{sections} AS {name}_tree"
+
+
+def _hashes_sql(name: str) -> str:
+    paragraphs = f"list_transform({name}_tree, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, ''))))"
+    sections = f"list_transform({paragraphs}, lambda s: sha256(array_to_string(s, '')))"
+    return (
+        f"sha256(array_to_string({sections}, '')) AS {name}_root, flatten({paragraphs}) AS {name}_paragraphs, "
+        f"list_distinct(list_concat({sections}, flatten({paragraphs}), flatten(flatten({name}_tree)))) AS {name}_nodes"
+    )
+
+
+def _near_sql(a: str, b: str) -> str:
+    shared = f"len(list_intersect({a}_nodes, {b}_nodes)) + CAST({a}_root = {b}_root AS INTEGER)"
+    return f"2.0::DOUBLE * ({shared}) / (len({a}_nodes) + len({b}_nodes) + 2.0::DOUBLE)"
+
+
+ORACLE["op5_document_fingerprints"] = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), paired AS (
+  SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS o FROM texts WINDOW w AS (ORDER BY doc_id DESC)
+), edits AS (
+  SELECT doc_id, n, t, o, substr(t, 1, n - n // 2) || substr(o, 1, n // 2) AS e FROM paired
+), trees AS (
+  SELECT doc_id, n, e, {_tree_sql("t", "own")}, {_tree_sql("o", "next")}, {_tree_sql("e", "edit")} FROM edits
+), hashed AS (
+  SELECT doc_id, n, e, {_hashes_sql("own")}, {_hashes_sql("next")}, {_hashes_sql("edit")} FROM trees
+)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, own_root AS fingerprint, edit_root AS edited_fingerprint,
+  {_near_sql("own", "edit")} AS near_edited, {_near_sql("own", "next")} AS near_next,
+  CAST(coalesce(list_min(list_filter(range(1, greatest(len(own_paragraphs), len(edit_paragraphs)) + 1),
+    lambda i: own_paragraphs[i] IS DISTINCT FROM edit_paragraphs[i])), 0) AS INTEGER) AS first_edit
+FROM hashed
+"""
+
+
 @query
 def op3_mix_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix.mixed(table(spark, sf_dir, "documents"), share=(1, 2), epochs=2)
