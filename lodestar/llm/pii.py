@@ -34,7 +34,10 @@ DATE = (
 )
 SSN = r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])"
 PHONE = r"(?<![A-Za-z0-9_+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9_])"
-CARD = r"(?<![A-Za-z0-9_])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9_])"
+CARD = (
+    r"(?<![A-Za-z0-9_])(?:[0-9]{13,19}|(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})"
+    r"(?![A-Za-z0-9_])"
+)
 ANY = "|".join((EMAIL, ACCESS_KEY, SECRET, IP, DATE, SSN, PHONE, CARD))
 #: Every value holds one of these; rows without any are not searched further.
 HINT = "[0-9@]|AKIA"
