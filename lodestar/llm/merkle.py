@@ -15,6 +15,8 @@ SECTION = r"(?<=\n\n)(?!\n)"
 PARAGRAPH = r"(?<=\n)"
 LEAF = r"(?:\S{1,64}\s*){1,8}|\s+"
 LEAST = -(1 << 63)
+#: Ranges of ids, by default as many as shuffle partitions are set, but no more than this.
+MOST_BUCKETS = 1 << 16
 
 
 def _hash_all(parts: Column) -> Column:
@@ -80,19 +82,21 @@ def first_difference(a: Column, b: Column) -> Column:
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """``ord`` (the id, null first) and ``bucket``: ranges of ids of nearly equal size."""
+    """``ord`` (the id, null first) and ``bucket``: ranges of ids of nearly equal size.
+
+    Spark's own range partitioning of the ids alone gives the bounds, one for each bucket; any
+    bounds would give the same result.
+    """
     docs = docs.withColumn("ord", F.coalesce(F.col("doc_id"), F.lit(LEAST)))
-    shares = [i / buckets for i in range(1, buckets)]
-    bounds = docs.agg(F.percentile_approx("ord", F.array(*map(F.lit, shares)), 20 * buckets).alias("b")).first()["b"]
-    steps = [1 << i for i in reversed(range(len(bounds or []).bit_length()))]
-    padded = sorted(set(bounds or []))
-    padded += [(1 << 63) - 1] * (2 * (steps[0] if steps else 1) - len(padded))
-    edges = F.array(*map(F.lit, padded))
+    parts = docs.select("ord").repartitionByRange(buckets, "ord").groupBy(F.spark_partition_id()).agg(F.min("ord").alias("low"))
+    bounds = sorted(r.low for r in parts.collect())[1:]
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))] or [1]
+    edges = F.array(*map(F.lit, bounds + [(1 << 63) - 1] * (2 * steps[0] - len(bounds))))
     # binary search: the number of bounds not above the id
     place = F.reduce(
-        F.array(*map(F.lit, steps or [0])),
+        F.array(*map(F.lit, steps)),
         F.lit(0),
-        lambda at, s: F.when((s > 0) & (F.element_at(edges, F.greatest(at + s, F.lit(1))) <= F.col("ord")), at + s).otherwise(at),
+        lambda at, s: F.when(F.element_at(edges, at + s) <= F.col("ord"), at + s).otherwise(at),
     )
     return docs.withColumn("bucket", place)
 
@@ -141,7 +145,7 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     text counts as empty; a lone document is its own next; an empty table gives no rows; other
     columns are ignored; repeated rows each keep a row.
     """
-    buckets = buckets or min(4096, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or min(MOST_BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     placed = with_next(base, buckets)
     chars = placed.withColumn("n_chars", F.length("text").cast("long")).drop("next_paragraphs")
