@@ -1,10 +1,10 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Two dictionaries are trained: one on ordinary text, one on what recurs in toxic texts and is
-nearly unknown to ordinary ones.  A text is cut into windows of words, long ones and single words,
-and each is compressed twice: primed with the ordinary dictionary alone, and primed with both.  (The first is padded to
-the same length, so match offsets cost the same and the difference is what the toxic dictionary
-saves.)  A window is toxic from a saving that few ordinary windows reach; a logistic curve,
+nearly unknown to ordinary ones.  A text is cut into windows of words, long ones and single
+words, and each is compressed twice: primed with the ordinary dictionary alone, and primed with
+both.  (The first is padded to the same length, so match offsets cost the same and the difference
+is what the toxic dictionary saves.)  A window is toxic from a saving that few ordinary windows reach; a logistic curve,
 fitted to documents that trained no dictionary, turns the savings of a document's windows into
 a probability.
 """
@@ -35,10 +35,12 @@ CARRIER = bytes(range(128, 192))
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 2_048
 #: Of these classes' documents two thirds train dictionaries, the rest the thresholds.
 CALIBRATION = 3
-#: Lengths of beginnings, in bytes; a telling unit stands in so many different places at least,
-#: in so many for each toxic document, and so many times as often as in ordinary text.
+#: Shares of windows that save 1, 2, ... bytes are features up to this saving.
 GAINS = 8
+#: Words whose saving a Python worker remembers before it starts afresh.
 KNOWN_WORDS = 400_000
+#: Lengths of beginnings, in bytes; a telling unit stands in so many different places at least,
+#: in so many for each toxic document, and so many times as often as in ordinary text.
 STEMS = (4, 5, 6, 7, 8, 9)
 LEAST_PLACES, LEAST_SHARE, LEAST_RATIO = 6, 0.01, 8
 _WORD = re.compile(rb"[^\x00-\x20!-/:-@\[-`{-\x7f]+")
