@@ -8,9 +8,11 @@ after the limits, for the files that are shown.
 
 from __future__ import annotations
 
+import threading
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after, before, split_lines
@@ -23,6 +25,7 @@ from .symbols import symbol_of
 K1, B = 1.2, 0.75
 #: Most matched lines of one search, where ``capped`` is asked for.
 MATCH_CAP = 10_000
+WALL_SECONDS = 60
 
 
 def prepared(corpus: DataFrame, query: Query) -> DataFrame:
@@ -148,6 +151,28 @@ def search(
     return out.orderBy(F.desc("score"), "path")
 
 
+def collect_within(rows: DataFrame, seconds: float = WALL_SECONDS) -> list[Row]:
+    """The rows, or ``TimeoutError``: Spark's jobs for them are cancelled when the time is up."""
+    sc, tag, late = rows.sparkSession.sparkContext, f"search-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        return rows.collect()
+    except Exception:
+        if late.is_set():
+            raise TimeoutError(f"the search took more than {seconds:g} s") from None
+        raise
+    finally:
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
 def has_match(rows: DataFrame) -> bool:
     """Whether anything is left to show; stops at the first row."""
     return not rows.isEmpty()

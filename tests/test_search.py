@@ -111,6 +111,13 @@ def test_pruning_loses_nothing(corpus, text):
     assert set(direct) <= {(r.path, r.is_overlay) for r in kept.collect()}
 
 
+def test_a_search_has_its_time(spark, corpus):
+    assert len(search.collect_within(search.search(corpus, "main"), 60)) == 5
+    slow = spark.range(1, 400_000_000_000, numPartitions=4).selectExpr("sum(sqrt(id))")
+    with pytest.raises(TimeoutError):
+        search.collect_within(slow, 1)
+
+
 def test_postings(corpus):
     got = {(r.gram, r.path, r.repo) for r in index.postings(corpus).collect()}
     want = {
