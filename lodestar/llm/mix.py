@@ -25,6 +25,7 @@ from .common import persist
 SEED = 7
 #: Leading hex digits of the hash that number the histogram's cells.
 CELL_DIGITS = 3
+BROADCAST_LEAVES, SALTS = 50_000, 64
 TOKEN = r"[^\x09-\x0D ]+"
 
 #: The tree of the ``documents`` table as SQL expressions; a source's number tells its domain.
@@ -99,6 +100,19 @@ def budgets(
     return leaves.join(got, levels, "left").withColumn("budget", F.coalesce("budget", F.lit(0)))
 
 
+def attach(rows: DataFrame, leaf: DataFrame, keys: list[str], leaves: int) -> DataFrame:
+    """``rows`` joined with the leaf table: by broadcast up to a checked number of leaves.
+
+    Beyond it both sides are dealt by leaf and salt, so a leaf that holds a third of all rows
+    still spreads over SALTS tasks.
+    """
+    if leaves <= BROADCAST_LEAVES:
+        return rows.join(F.broadcast(leaf), keys)
+    salted = leaf.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return own.join(salted, [*keys, "__salt"]).drop("__salt")
+
+
 def order_hash(seed: int, epoch: Column, doc_id: Column) -> Column:
     ids = F.coalesce(doc_id.cast("string"), F.lit("null"))
     return F.md5(F.concat(F.lit(f"{seed}:"), epoch.cast("string"), F.lit(":"), ids).cast("binary"))
@@ -123,26 +137,26 @@ def cuts(
     dealt = budgets(leaves, levels, weights, share, epochs)
     whole = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(0)
     leaf = persist(dealt.withColumn("whole", whole).withColumn("part", F.col("budget") - F.col("whole") * F.col("tokens")))
-    hashed = meta.join(leaf.select(*levels, "whole", "part"), levels).withColumn(
-        "h", order_hash(seed, F.col("whole"), F.col("doc_id"))
-    )
+    n = leaf.count()
+    hashed = attach(meta, leaf.select(*levels, "whole", "part"), levels, n)
+    hashed = hashed.withColumn("h", order_hash(seed, F.col("whole"), F.col("doc_id")))
     cells = hashed.groupBy(*levels, "part", F.substring("h", 1, CELL_DIGITS).alias("cell")).agg(F.sum("tokens").alias("t"))
     upto = Window.partitionBy(*levels).orderBy("cell")
     cells = cells.withColumn("sum", F.sum("t").over(upto))
     cut_cell = cells.where(F.col("sum") > F.col("part")).groupBy(*levels).agg(F.min(F.struct("cell", (F.col("sum") - F.col("t")).alias("base"))).alias("c"))
     cut_cell = persist(cut_cell.select(*levels, "c.cell", "c.base"))
-    inside = hashed.withColumn("cell", F.substring("h", 1, CELL_DIGITS)).join(cut_cell, [*levels, "cell"])
+    inside = attach(hashed.withColumn("cell", F.substring("h", 1, CELL_DIGITS)), cut_cell, [*levels, "cell"], n)
     each = inside.groupBy(*levels, "cell", "base", "part", "h").agg(F.sum("tokens").alias("t"))
     run = Window.partitionBy(*levels, "cell").orderBy("h")
     each = each.withColumn("sum", F.col("base") + F.sum("t").over(run)).where(F.col("sum") <= F.col("part"))
     last = each.groupBy(*levels).agg(F.max("h").alias("h"))
     found = cut_cell.join(last, levels, "left").select(*levels, F.coalesce("h", "cell").alias("cut"))
-    return leaf.join(found, levels, "left").select(*levels, "whole", "cut")
+    return persist(leaf.join(found, levels, "left").select(*levels, "whole", "cut"))
 
 
 def copies(rows: DataFrame, leaf_cuts: DataFrame, levels: list[str], seed: int = SEED) -> DataFrame:
     """``rows(doc_id, levels..., ...)`` once for each epoch that takes them, with ``epoch`` from 0."""
-    joined = rows.join(leaf_cuts, levels)
+    joined = attach(rows, leaf_cuts, levels, leaf_cuts.count())
     taken = F.coalesce(order_hash(seed, F.col("whole"), F.col("doc_id")) <= F.col("cut"), F.lit(True)).cast("long")
     counted = joined.withColumn("n", F.col("whole") + taken).where("n > 0")
     return counted.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("epoch"))

@@ -65,6 +65,12 @@ def test_against_brute_force(docs, odd, share, epochs):
         assert got == sorted(brute(rows, share, epochs), key=repr)
 
 
+def test_too_many_leaves_to_broadcast(docs, monkeypatch):
+    want = sorted(mix.mixed(docs).collect())
+    monkeypatch.setattr(mix, "BROADCAST_LEAVES", 0)
+    assert sorted(mix.mixed(docs).collect()) == want
+
+
 def test_rows_keep_their_columns(odd):
     out = mix.mix(odd, share=(3, 4))
     assert out.columns == odd.columns
