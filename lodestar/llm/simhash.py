@@ -29,6 +29,8 @@ from .components import connected_components
 
 SEED = 42
 BITS = 64
+#: Ids of dropped documents that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def hash_shingles(body: bytes, width: int) -> list[int]:
@@ -63,14 +65,14 @@ def fingerprint(body: bytes, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``(doc_id, fp)`` of every row: one 64-bit SimHash as a signed long.  Null text is empty."""
+    """``(doc_id, f0)`` of every row: one 64-bit SimHash as a signed long.  Null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "f0"])
 
-    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, fp long")
+    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, f0 long")
 
 
 def wide_fingerprint(body: bytes, width: int) -> tuple[int, int]:
@@ -90,7 +92,7 @@ def wide_fingerprint(body: bytes, width: int) -> tuple[int, int]:
 
 
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, fp struct<f0 long, f1 long>)`` of every row.  Null text is empty."""
+    """``(doc_id, f0, f1)`` of every row: 128 bits as two signed longs.  Null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,12 +100,12 @@ def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], ["doc_id", "f0", "f1"])
 
     rows = text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long").select("doc_id", F.struct("f0", "f1").alias("fp"))
+    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long")
 
 
-def lanes(fp: Column, n: int) -> list[Column]:
-    """The 64-bit parts of a fingerprint: a long, or a struct of longs."""
-    return [fp] if n == 1 else [fp[f"f{i}"] for i in range(n)]
+def lanes(n: int, side: str = "") -> list[str]:
+    """Columns of the fingerprint's 64-bit parts."""
+    return [f"{side}f{i}" for i in range(n)]
 
 
 def segments(pieces: int) -> list[tuple[int, int]]:
@@ -117,7 +119,11 @@ def _signed(x: int) -> int:
 
 
 def variants(nodes: DataFrame, pieces: int, n: int = 1) -> DataFrame:
-    """One row for each bit of the fingerprint: the segment that holds the bit, without it."""
+    """``nodes`` once for each bit, with ``key``: the segment that holds the bit, without it.
+
+    The key hashes the bit's place and the rest of the segment; should two of them ever meet,
+    that adds candidates, which are verified like all others.
+    """
     table = [
         F.struct(
             F.lit(BITS * lane + bit).alias("slot"), F.lit(lane).alias("lane"),
@@ -125,68 +131,62 @@ def variants(nodes: DataFrame, pieces: int, n: int = 1) -> DataFrame:
         )
         for lane in range(n) for a, w in segments(pieces) for bit in range(a, a + w)
     ]
-    out = nodes.select("*", F.explode(F.array(*table)).alias("v"))
-    own = lanes(F.col("fp"), n)
-    part = own[0]
+    part = F.col("f0")
     for lane in range(1, n):
-        part = F.when(F.col("v.lane") == lane, own[lane]).otherwise(part)
-    return out.withColumn("slot", F.col("v.slot")).withColumn("part", part.bitwiseAND(F.col("v.mask"))).drop("v")
+        part = F.when(F.col("v.lane") == lane, F.col(f"f{lane}")).otherwise(part)
+    out = nodes.select("*", F.explode(F.array(*table)).alias("v"))
+    return out.withColumn("key", F.xxhash64("v.slot", part.bitwiseAND(F.col("v.mask")))).drop("v")
 
 
-def near(x: Column, y: Column, max_bits: int, n: int = 1) -> Column:
-    counts = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(lanes(x, n), lanes(y, n), strict=True)]
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
+def near(x: str, y: str, max_bits: int, n: int = 1) -> Column:
+    """Whether two fingerprints, whose columns begin with x and y, differ in so many bits at most."""
+    total = F.lit(0)
+    for a, b in zip(lanes(n, x), lanes(n, y), strict=True):
+        total = total + F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
     return total <= max_bits
 
 
-def groups(fps: DataFrame, max_bits: int = 4, pieces: int | None = None, n: int = 1) -> DataFrame:
-    """``(fp, root)`` for every distinct fingerprint: root is the same where a chain of links is.
+def groups(nodes: DataFrame, max_bits: int = 4, pieces: int | None = None, n: int = 1) -> DataFrame:
+    """``(node, root)`` for every node: root is the same where a chain of links is.
 
-    ``fps``: ``(fp, n)``, distinct, n its number of documents.  A link is ``max_bits`` differing
-    bits or fewer, found where some segment differs by one at most: with ``max_bits // 2 + 1``
-    pieces (the default) that is every link.
+    ``nodes``: ``(node, copies, f0, ...)``, one row for each distinct fingerprint, checkpointed;
+    copies is its number of documents.  A link is ``max_bits`` differing bits or fewer, found
+    where some segment differs by one at most: with ``max_bits // 2 + 1`` pieces (the default)
+    that is every link.
     """
     pieces = pieces or max_bits // 2 + 1
-    keys = ["slot", "part"]
-    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = variants(fps.repartition(tasks, "fp"), pieces, n)  # 64 rows and more each: not the few tasks that fps fits in
-    top = v.groupBy(*keys).agg(F.max(F.struct("n", "fp")).alias("top"), F.count("*").alias("m")).where("m > 1")
-    top = top.select(*keys, F.col("top.fp").alias("leader"))
-    hit = (F.col("x.slot") == F.col("t.slot")) & (F.col("x.part") == F.col("t.part"))
-    star = v.alias("x").join(
-        top.alias("t"), hit & (F.col("x.fp") != F.col("t.leader")) & near(F.col("x.fp"), F.col("t.leader"), max_bits, n)
-    )
-    first = persist(connected_components(star.select(F.col("x.fp").alias("a"), F.col("t.leader").alias("b")).distinct()))
-
-    placed = persist(
-        fps.select("fp")
-        .join(first, fps.fp == first.node, "left")
-        .select("fp", F.coalesce("root", "fp").alias("root"))
-    )
-    within = Window.partitionBy(*keys)
-    w = variants(placed.repartition(tasks, "fp"), pieces, n).select("*", F.min("root").over(within).alias("lo"), F.max("root").over(within).alias("hi"))
-    left = w.where("lo < hi").select(*keys, "fp", "root")
-    same = (F.col("x.slot") == F.col("y.slot")) & (F.col("x.part") == F.col("y.part"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same_key = Window.partitionBy("key")
+    # 64 rows a node and more: not made in the few tasks that the nodes fit in
+    v = variants(nodes.repartition(tasks, "node"), pieces, n)
+    top = F.max(F.struct("copies", "node", *lanes(n))).over(same_key)
+    led = v.withColumn("top", top).where("node <> top.node")
+    star = led.where(near("", "top.", max_bits, n)).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+    first = persist(connected_components(star.distinct()))
+
+    placed = nodes.join(first.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    placed = persist(placed.select("node", F.coalesce("root", "node").alias("root"), *lanes(n)))
+    w = variants(placed.select("root", *lanes(n)).repartition(tasks, "f0"), pieces, n)
+    mixed = w.select("*", F.min("root").over(same_key).alias("lo"), F.max("root").over(same_key).alias("hi"))
+    left = mixed.where("lo < hi").drop("lo", "hi")
     pairs = left.alias("x").join(
         left.alias("y"),
-        same & (F.col("x.root") < F.col("y.root")) & near(F.col("x.fp"), F.col("y.fp"), max_bits, n),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x.", "y.", max_bits, n),
     )
-    more = connected_components(
-        persist(pairs.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct())
-    ).select(F.col("node").alias("root"), F.col("root").alias("root2"))
-    joined = placed.join(more, "root", "left").select("fp", F.coalesce("root2", "root").alias("root"))
-    return joined
+    pairs = pairs.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
+    more = connected_components(persist(pairs)).select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return placed.join(more, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
 
 
-def _components(per_doc: DataFrame, **how) -> DataFrame:
-    """``(doc_id, fp, component_id)`` from ``per_doc(doc_id, fp)``."""
-    fps = persist(per_doc.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")))
-    rooted = groups(fps.select("fp", "n"), **how).join(fps.select("fp", "first_id"), "fp")
+def _components(per_doc: DataFrame, n: int = 1, **how) -> DataFrame:
+    """``per_doc(doc_id, f0, ...)`` with ``component_id``: the smallest doc_id of the group."""
+    own = lanes(n)
+    folded = per_doc.groupBy(*own).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    nodes = persist(folded.withColumn("node", F.monotonically_increasing_id()))
+    rooted = groups(nodes.select("node", "copies", *own), n=n, **how).join(nodes.drop("copies"), "node")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    mapping = persist(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
-    return per_doc.join(mapping, "fp").select("doc_id", "fp", "component_id")
+    mapping = persist(rooted.select("root", *own).join(least, "root").drop("root"))
+    return per_doc.join(mapping, own)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
@@ -197,7 +197,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     smallest doc_id reachable over links of at most ``max_bits`` differing bits.
     """
     out = _components(persist(fingerprints(docs, width)), max_bits=max_bits)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def bits_at(similarity: float) -> int:
@@ -228,5 +228,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     doc_id cannot be told apart and stay too.
     """
     out = similar(docs.select("doc_id", "text"), width, similarity)
-    drop = out.where("doc_id > component_id").select("doc_id").distinct()
+    drop = persist(out.where("doc_id > component_id").select("doc_id").distinct())
+    if drop.count() <= BROADCAST_IDS:  # then the texts stay where they are
+        drop = F.broadcast(drop)
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)

@@ -62,8 +62,10 @@ def test_chains_and_clouds(spark):
         for _ in range(60):
             fps.add(x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))))
     items = sorted(enumerate(fps))
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, 1) for x in fps], "fp long, n long")
-    got = {r.fp % (1 << 64): r.root % (1 << 64) for r in simhash.groups(df).collect()}
+    fp_of = dict(items)
+    rows = [(i, 1, x - (1 << 64) if x >> 63 else x) for i, x in items]
+    df = spark.createDataFrame(rows, "node long, copies long, f0 long")
+    got = {fp_of[r.node]: fp_of[r.root] for r in simhash.groups(df).collect()}
     want = brute_components(items, 4)
     by_id = dict(items)
     classes = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
@@ -114,6 +116,12 @@ def test_similar_texts(docs):
     assert kept == sorted(i for i in root if root[i] == i)
 
 
+def test_many_dropped_ids(docs, monkeypatch):
+    want = sorted(simhash.keep_one(docs).collect())
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", 0)
+    assert sorted(simhash.keep_one(docs).collect()) == want
+
+
 def test_edited_copies_are_found(spark):
     """Copies with a few words changed, and texts that only share a passage."""
     rng = random.Random(9)
