@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,16 @@ def persist(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of frames that are gone.
+
+    Spark drops them when the driver's collector finds that nothing refers to them any more; a
+    driver that makes little garbage may hold them for long, on every executor's disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(df: DataFrame, *keep: str) -> DataFrame:
     """The columns named, and ``text`` as UTF-8 bytes (null: empty)."""
     return df.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))

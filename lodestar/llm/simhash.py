@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import persist, text_bytes
+from .common import persist, release, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -146,6 +146,17 @@ def near(x: str, y: str, max_bits: int, n: int = 1) -> Column:
     return total <= max_bits
 
 
+def _led(nodes: DataFrame, max_bits: int, pieces: int, n: int) -> DataFrame:
+    """``(node, root)`` of groups by links to the leader of some key: one fingerprint for each key."""
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # 64 rows a node and more: not made in the few tasks that the nodes fit in
+    v = variants(nodes.repartition(tasks, "node"), pieces, n)
+    top = F.max(F.struct("copies", "node", *lanes(n))).over(Window.partitionBy("key"))
+    star = v.withColumn("top", top).where((F.col("node") != F.col("top.node")) & near("", "top.", max_bits, n))
+    edges = persist(star.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct())
+    return persist(connected_components(edges))
+
+
 def groups(nodes: DataFrame, max_bits: int = 4, pieces: int | None = None, n: int = 1) -> DataFrame:
     """``(node, root)`` for every node: root is the same where a chain of links is.
 
@@ -157,12 +168,8 @@ def groups(nodes: DataFrame, max_bits: int = 4, pieces: int | None = None, n: in
     pieces = pieces or max_bits // 2 + 1
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     same_key = Window.partitionBy("key")
-    # 64 rows a node and more: not made in the few tasks that the nodes fit in
-    v = variants(nodes.repartition(tasks, "node"), pieces, n)
-    top = F.max(F.struct("copies", "node", *lanes(n))).over(same_key)
-    led = v.withColumn("top", top).where("node <> top.node")
-    star = led.where(near("", "top.", max_bits, n)).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
-    first = persist(connected_components(star.distinct()))
+    first = _led(nodes, max_bits, pieces, n)
+    release(nodes.sparkSession)  # the first pass's shuffle, before the second is written
 
     placed = nodes.join(first.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     placed = persist(placed.select("node", F.coalesce("root", "node").alias("root"), *lanes(n)))
