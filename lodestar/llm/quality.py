@@ -28,7 +28,7 @@ FIT_DOCS = {0: 2500, 1: 3500}
 DIM, NONZERO, CONTEXT = 48, 6, 2
 #: Words of the fitting sample with vectors of their own, at most.
 VOCABULARY = 20_000
-HIDDEN, EPOCHS, RATE = 32, 60, 3e-3
+HIDDEN, EPOCHS, RATE = 32, 25, 3e-3
 _PARTS = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
 _KEPT_WORDS = 200_000
 
@@ -130,12 +130,16 @@ class QualityModel:
 
 def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     """Random indexing over the sample: one vector for each frequent word and each look."""
-    streams, first = [], {}
+    streams, first, kept = [], {}, {}
     for t in texts:
         own: list[int] = []
         for w in t.split():
-            for x in filter(None, (*look(w), core(w))):
-                own.append(first.setdefault(x, len(first)))
+            ids = kept.get(w)
+            if ids is None:
+                ids = [first.setdefault(x, len(first)) for x in filter(None, (*look(w), core(w)))]
+                if len(kept) < _KEPT_WORDS:
+                    kept[w] = ids
+            own += ids
         streams.append(np.array(own, np.int32))
     tokens = np.concatenate([*streams, np.zeros(0, np.int32)])
     counts = np.bincount(tokens, minlength=len(first))
@@ -145,10 +149,10 @@ def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     place[[first[w] for w in known]] = np.arange(1, len(known) + 1)
     index = np.array([index_vector(w) for w in number])
     context = np.zeros_like(index)
-    for gap in range(1, CONTEXT + 1):
-        pairs = [place[s[:-gap]] * len(number) + place[s[gap:]] for s in streams if len(s) > gap]
-        for i in range(0, len(pairs), 500):
-            both, times = np.unique(np.concatenate(pairs[i : i + 500]), return_counts=True)
+    for i in range(0, len(streams), 250):
+        for gap in range(1, CONTEXT + 1):
+            pairs = [place[s[:-gap]] * len(number) + place[s[gap:]] for s in streams[i : i + 250] if len(s) > gap]
+            both, times = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_counts=True)
             left, right = both // len(number), both % len(number)
             np.add.at(context, left, index[right] * times[:, None])
             np.add.at(context, right, index[left] * times[:, None])
@@ -194,6 +198,7 @@ def fit_texts(sample: list[tuple[str, int]]) -> QualityModel:
     z = model.logits(x[held])
     loss = lambda t: np.mean(np.logaddexp(0, np.where(y[held] > 0, -z, z) / t))
     model.temperature = float(min(np.geomspace(0.25, 8, 60), key=loss)) if held.any() else 1.0
+    model._rows, model._kept = None, {}  # what fitting left behind
     return model
 
 
