@@ -38,7 +38,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _ALL = (1 << 64) - 1
 _START = -1
 #: Words and pairs remembered by one Python worker before it starts afresh.
-KEPT_WORDS, KEPT_PAIRS = 600_000, 2_000_000
+KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
 _SIEVE, _RECENT = 1 << 19, 1 << 20
 _WORDS_AT_ONCE = 20_000
 
@@ -317,7 +317,9 @@ def load(path: str = MODEL) -> PieceModel:
         return PieceModel.parse(f.read())
 
 
-_BATCH_CHARS = 4 << 20
+_BATCH_CHARS = 2 << 20
+#: Rows whose tokens are held at once by one Python worker.
+ROWS_AT_ONCE = 1000
 
 
 def _batches(model: PieceModel, texts: list[str]) -> Iterator[np.ndarray]:
@@ -334,10 +336,12 @@ def _mapped(docs: DataFrame, model: PieceModel, keep: list[str], make, schema: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the pieces, about a megabyte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_columns - 1
-            own = make(shared.value, [x if x is not None else "" for x in batch.column(n).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *own.values()], [*batch.schema.names[:n], *own])
+        for whole in batches:
+            n = whole.num_columns - 1
+            for lo in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(lo, ROWS_AT_ONCE)
+                own = make(shared.value, [x if x is not None else "" for x in batch.column(n).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *own.values()], [*batch.schema.names[:n], *own])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
