@@ -16,7 +16,7 @@ components only.  Nothing is capped: a pair that the leaders do not settle meets
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from .common import persist, release, text_bytes
 from .components import connected_components
 
+Sift = Callable[[DataFrame], DataFrame]
 SEED = 42
 BITS = 64
+#: 64-bit parts of the fingerprints of ``similar``: all are indexed, and as many compared as NEAR_LANES says.
+WIDE_LANES, NEAR_LANES = 2, 2
 #: Ids of dropped documents that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -75,32 +78,83 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, f0 long")
 
 
-def wide_fingerprint(body: bytes, width: int) -> tuple[int, int]:
-    """128 bits over the distinct shingles: 64 of their hashes, 64 of those hashes mixed again."""
-    hashes = np.unique(np.array(hash_shingles(body, width), np.uint64))
+def shingle_set(body: bytes, width: int) -> np.ndarray:
+    """The distinct shingles' hashes, in ascending order."""
+    return np.unique(np.array(hash_shingles(body, width), np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDE_LANES x 64 bits over distinct hashes: each lane's are the hashes mixed once more than the last's."""
     if not len(hashes):
-        return 0, 0
-    again = hashes + np.uint64(0x9E3779B97F4A7C15)
-    again = (again ^ (again >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    again = (again ^ (again >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    again ^= again >> np.uint64(31)
-    out = []
-    for values in (hashes, again):
+        return [0] * WIDE_LANES
+    out, values = [], hashes
+    for lane in range(WIDE_LANES):
+        if lane:
+            values = values + np.uint64(0x9E3779B97F4A7C15)
+            values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            values ^= values >> np.uint64(31)
         ones = np.unpackbits(values.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.int64)
         out.append(int(np.packbits(2 * ones > len(values), bitorder="little").view(np.uint64)[0]))
-    return out[0], out[1]
+    return out
 
 
 def wide_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
-    """``(doc_id, f0, f1)`` of every row: 128 bits as two signed longs.  Null text is empty."""
+    """``(doc_id, f0, ..., digest, size)`` of every row.  Null text is empty.
+
+    ``digest`` is a hash of the set of shingles, ``size`` its number of shingles.
+    """
+    names = [*lanes(WIDE_LANES), "digest", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([wide_fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], ["doc_id", "f0", "f1"])
+            rows = []
+            for x in batch.column(1):
+                own = shingle_set(x.as_py(), width)
+                rows.append([*wide_fingerprint(own), xxhash.xxh64_intdigest(own.tobytes(), SEED), len(own)])
+            cols = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.copy()) for c in cols.T)], ["doc_id", *names])
 
     rows = text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``(node, shingles)``: the hashes of each of ``nodes(node, first_id, digest)`` as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column(1)):  # a row at a time: a text may be long
+                own = shingle_set(x.as_py(), width)
+                digest = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array(digest), pa.array([own.tobytes()])], ["__id", "__digest", "shingles"])
+
+    ids = persist(nodes.select(F.col("first_id").alias("__first")).distinct())
+    if ids.count() <= BROADCAST_IDS:  # then the texts stay where they are
+        ids = F.broadcast(ids)
+    body = text_bytes(docs, F.col("doc_id").cast("long").alias("__id"))
+    body = body.join(ids, F.col("__id").eqNullSafe(F.col("__first")), "left_semi")
+    made = body.mapInArrow(run, "__id long, __digest long, shingles binary")
+    here = F.col("__id").eqNullSafe(F.col("first_id")) & (F.col("__digest") == F.col("digest"))
+    return persist(made.join(nodes, here).select("node", "shingles").dropDuplicates(["node"]))
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``edges(a, b)`` whose sets of shingles have that Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * 0.999 and common / max(len(x) + len(y) - common, 1) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    # the leader's set travels to the members, not theirs to it
+    one = edges.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def lanes(n: int, side: str = "") -> list[str]:
@@ -118,9 +172,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def variants(nodes: DataFrame, pieces: int, n: int = 1) -> DataFrame:
+def variants(nodes: DataFrame, pieces: int, n: int = 1, kept: int = 1) -> DataFrame:
     """``nodes`` once for each bit, with ``key``: the segment that holds the bit, without it.
 
+    Of the fingerprint's ``n`` parts the rows keep the first ``kept``.
+
     The key hashes the bit's place and the rest of the segment; should two of them ever meet,
     that adds candidates, which are verified like all others.
     """
@@ -135,7 +191,7 @@ def variants(nodes: DataFrame, pieces: int, n: int = 1) -> DataFrame:
     for lane in range(1, n):
         part = F.when(F.col("v.lane") == lane, F.col(f"f{lane}")).otherwise(part)
     out = nodes.select("*", F.explode(F.array(*table)).alias("v"))
-    return out.withColumn("key", F.xxhash64("v.slot", part.bitwiseAND(F.col("v.mask")))).drop("v")
+    return out.withColumn("key", F.xxhash64("v.slot", part.bitwiseAND(F.col("v.mask")))).drop("v", *lanes(n)[kept:])
 
 
 def near(x: str, y: str, max_bits: int, n: int = 1) -> Column:
@@ -146,41 +202,57 @@ def near(x: str, y: str, max_bits: int, n: int = 1) -> Column:
     return total <= max_bits
 
 
-def _led(nodes: DataFrame, max_bits: int, pieces: int, n: int) -> DataFrame:
+def _led(nodes: DataFrame, max_bits: int, pieces: int, n: int, sift: Sift | None) -> DataFrame:
     """``(node, root)`` of groups by links to the leader of some key: one fingerprint for each key."""
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # 64 rows a node and more: not made in the few tasks that the nodes fit in
-    v = variants(nodes.repartition(tasks, "node"), pieces, n)
-    top = F.max(F.struct("copies", "node", *lanes(n))).over(Window.partitionBy("key"))
-    star = v.withColumn("top", top).where((F.col("node") != F.col("top.node")) & near("", "top.", max_bits, n))
+    v = variants(nodes.repartition(tasks, "node"), pieces, n, _compared(n))
+    top = F.max(F.struct("copies", "node", *lanes(_compared(n)))).over(Window.partitionBy("key"))
+    star = v.withColumn("top", top).where((F.col("node") != F.col("top.node")) & near("", "top.", max_bits, _compared(n)))
     edges = persist(star.select(F.col("node").alias("a"), F.col("top.node").alias("b")).distinct())
-    return persist(connected_components(edges))
+    return persist(connected_components(persist(sift(edges)) if sift else edges))
 
 
-def groups(nodes: DataFrame, max_bits: int = 4, pieces: int | None = None, n: int = 1) -> DataFrame:
+def _compared(n: int) -> int:
+    return min(n, NEAR_LANES)
+
+
+def groups(
+    nodes: DataFrame, max_bits: int = 4, pieces: int | None = None, n: int = 1, sift: Sift | None = None
+) -> DataFrame:
     """``(node, root)`` for every node: root is the same where a chain of links is.
 
     ``nodes``: ``(node, copies, f0, ...)``, one row for each distinct fingerprint, checkpointed;
-    copies is its number of documents.  A link is ``max_bits`` differing bits or fewer, found
-    where some segment differs by one at most: with ``max_bits // 2 + 1`` pieces (the default)
-    that is every link.
+    copies is its number of documents.  A link is ``max_bits`` differing bits or fewer (of the
+    first NEAR_LANES parts), found where some segment differs by one at most: with
+    ``max_bits // 2 + 1`` pieces (the default) that is every link.  With ``sift`` these are
+    candidates only, ``(a, b)``, and links are the rows that it returns.
     """
     pieces = pieces or max_bits // 2 + 1
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     same_key = Window.partitionBy("key")
-    first = _led(nodes, max_bits, pieces, n)
+    own = lanes(_compared(n))
+    first = _led(nodes, max_bits, pieces, n, sift)
     release(nodes.sparkSession)  # the first pass's shuffle, before the second is written
 
     placed = nodes.join(first.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
     placed = persist(placed.select("node", F.coalesce("root", "node").alias("root"), *lanes(n)))
-    w = variants(placed.select("root", *lanes(n)).repartition(tasks, "f0"), pieces, n)
+    who = ["node", "root"] if sift else ["root"]
+    w = variants(placed.select(*who, *lanes(n)).repartition(tasks, "f0"), pieces, n, _compared(n))
     mixed = w.select("*", F.min("root").over(same_key).alias("lo"), F.max("root").over(same_key).alias("hi"))
     left = mixed.where("lo < hi").drop("lo", "hi")
     pairs = left.alias("x").join(
         left.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x.", "y.", max_bits, n),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")) & near("x.", "y.", max_bits, len(own)),
     )
-    pairs = pairs.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
+    if sift:  # of two groups each pair of members is a candidate of its own
+        pairs = sift(persist(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+        for end in ("a", "b"):
+            at = placed.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+            pairs = pairs.join(at, end)
+        pairs = pairs.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    else:
+        pairs = pairs.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
     more = connected_components(persist(pairs)).select(F.col("node").alias("root"), F.col("root").alias("further"))
     return placed.join(more, "root", "left").select("node", F.coalesce("further", "root").alias("root"))
 
@@ -207,25 +279,49 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bits_at(similarity: float) -> int:
-    """Differing bits of 128 up to which texts of that Jaccard similarity link.
+def bits_at(similarity: float, errors: float = 1) -> int:
+    """Differing bits of 128 of texts of that Jaccard similarity, and so many standard errors on top.
 
     Two sets of similarity s meet at an angle with cosine 2s / (1 + s), and each bit differs with
-    that angle's share of a half turn; one standard error is allowed on top.
+    that angle's share of a half turn.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(2 * BITS * p + math.sqrt(2 * BITS * p * (1 - p)))
+    return round(2 * BITS * p + errors * math.sqrt(2 * BITS * p * (1 - p)))
+
+
+def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(doc_id, digest, component_id)`` of every row, as ``similar`` says."""
+    per_doc = persist(wide_fingerprints(docs, width))
+    own = [*lanes(WIDE_LANES), "digest", "size"]
+    folded = per_doc.groupBy(*own).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    nodes = persist(folded.withColumn("node", F.monotonically_increasing_id()))
+
+    def sift(edges: DataFrame) -> DataFrame:
+        """Exact verdicts; where one set has less than that share of the other's shingles none is needed."""
+        for end in ("a", "b"):
+            edges = edges.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size")), end)
+        fits = F.least("a_size", "b_size") >= similarity * 0.999 * F.greatest("a_size", "b_size")
+        edges = persist(edges.where(fits).select("a", "b"))
+        ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+        sets = shingle_sets(docs, persist(nodes.join(ends, "node").select("node", "first_id", "digest")), width)
+        return verified(edges, sets, similarity)
+
+    rooted = groups(nodes.select("node", "copies", *lanes(WIDE_LANES)), bits_at(similarity), 4, WIDE_LANES, sift)
+    rooted = persist(rooted).join(nodes.drop("copies"), "node")
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    mapping = persist(rooted.select("root", *own).join(least, "root").drop("root"))
+    return per_doc.join(mapping, own).select("doc_id", "digest", "component_id")
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, component_id)`` of groups whose texts are similar by shingles of ``width`` words.
 
-    Fingerprints of 128 bits are indexed by eight segments of sixteen; of two texts of similarity
-    0.8, 0.85 and 0.9 some 93, 97 and 99 in a hundred have a segment that differs by one bit at
-    most.  Rows are treated as by ``near_duplicates``.
+    Links are pairs whose sets of shingles have that Jaccard similarity.  Candidates for them come
+    from fingerprints of 128 bits, indexed by eight segments of sixteen; they are pairs with a
+    segment that differs by one bit at most, and bits that differ by one standard error
+    more than such texts' do, at most.  Rows are treated as by ``near_duplicates``.
     """
-    out = _components(persist(wide_fingerprints(docs, width)), max_bits=bits_at(similarity), pieces=4, n=2)
-    return out.select("doc_id", "component_id")
+    return _similar(docs, width, similarity).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
