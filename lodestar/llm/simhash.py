@@ -31,7 +31,7 @@ Sift = Callable[[DataFrame], DataFrame]
 SEED = 42
 BITS = 64
 #: 64-bit parts of the fingerprints of ``similar``: all are indexed, and as many compared as NEAR_LANES says.
-WIDE_LANES, NEAR_LANES = 2, 2
+WIDE_LANES, NEAR_LANES = 4, 2
 #: Ids of dropped documents that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -306,7 +306,7 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
         sets = shingle_sets(docs, persist(nodes.join(ends, "node").select("node", "first_id", "digest")), width)
         return verified(edges, sets, similarity)
 
-    rooted = groups(nodes.select("node", "copies", *lanes(WIDE_LANES)), bits_at(similarity), 4, WIDE_LANES, sift)
+    rooted = groups(nodes.select("node", "copies", *lanes(WIDE_LANES)), bits_at(similarity, 3), 4, WIDE_LANES, sift)
     rooted = persist(rooted).join(nodes.drop("copies"), "node")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     mapping = persist(rooted.select("root", *own).join(least, "root").drop("root"))
@@ -317,8 +317,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFra
     """``(doc_id, component_id)`` of groups whose texts are similar by shingles of ``width`` words.
 
     Links are pairs whose sets of shingles have that Jaccard similarity.  Candidates for them come
-    from fingerprints of 128 bits, indexed by eight segments of sixteen; they are pairs with a
-    segment that differs by one bit at most, and bits that differ by one standard error
+    from fingerprints of 256 bits, indexed by sixteen segments of sixteen; they are pairs with a
+    segment that differs by one bit at most, and 128 bits that differ by three standard errors
     more than such texts' do, at most.  Rows are treated as by ``near_duplicates``.
     """
     return _similar(docs, width, similarity).select("doc_id", "component_id")

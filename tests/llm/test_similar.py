@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lodestar.llm import simhash
 
 SF = "/root/testdata/sf0.01"
@@ -55,7 +57,20 @@ def pairs(low, high, n=150):
     return rows
 
 
+def test_groups_are_those_of_the_jaccard_similarity(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    root = brute({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == root
+
+
 def test_no_pair_below_the_similarity_links(spark):
     rows = pairs(0.7, 0.8)
     out = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and all(r.doc_id == r.component_id for r in out)
+
+
+@pytest.mark.parametrize("low,high", [(0.8, 0.82), (0.85, 0.9)])
+def test_pairs_at_the_similarity_are_found(spark, low, high):
+    rows = pairs(low, high)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in range(0, len(rows), 2)) >= 0.98 * len(rows) / 2
