@@ -22,6 +22,8 @@ from ..schema import CORPUS
 
 SHARD_BYTES = 10 * 1024 * 1024
 GRAM = 3
+#: Alternatives that an ``And`` makes, at most; a part that would make more is not asked for.
+ALTERNATIVES = 64
 
 
 def shards(corpus: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
@@ -68,7 +70,9 @@ def required(node: Node) -> list[set[str]]:
     if isinstance(node, And):
         sets: list[set[str]] = [set()]
         for p in node.parts:
-            sets = [a | b for a in sets for b in required(p)][:64]
+            more = required(p)
+            if len(sets) * len(more) <= max(ALTERNATIVES, len(sets), len(more)):
+                sets = [a | b for a in sets for b in more]
         return sets
     if isinstance(node, Or):
         return [s for p in node.parts for s in required(p)]
@@ -78,7 +82,8 @@ def required(node: Node) -> list[set[str]]:
 def candidates(index: DataFrame, text: str) -> DataFrame | None:
     """``(path, repo)`` of files that may match, by counting required grams; None if all may.
 
-    ``And`` keeps at most 64 alternatives, by which fewer grams are asked for, never more.
+    Where the parts of an ``And`` would make more than ALTERNATIVES, the further ones are left to
+    the query's own test, by which fewer grams are asked for, never more.
     """
     sets = required(parse(text).root)
     if any(not s for s in sets):
