@@ -1,14 +1,13 @@
 """Language-model scores by cross-entropy difference.
 
 Two bigram models, of a target (documents labelled good) and of the background (all documents),
-are matched: same order, same smoothing, and one vocabulary of hashed words, so the size of both
-is fixed however much text they are counted from.  A token's loss is minus the logarithm of its
-probability: a share of the bigram's estimate, the rest the word's own, add-one smoothed.  A
-document's score is the mean over its tokens of the target's loss less the background's: the
+are matched: same order, same smoothing, one vocabulary.  A token's loss is minus the logarithm
+of its probability: a share of the bigram's estimate, the rest the word's own, add-one smoothed.
+A document's score is the mean over its tokens of the target's loss less the background's: the
 lower, the more it reads like the target.
 
-Counts are taken over all documents: every task sums its own, the sums are added up in a
-shuffle, and the finished tables (of proven size) are broadcast.
+Words are known by 64-bit hashes and bigrams by two of them.  Counts are taken over all documents
+and stay in frames that grow with the corpus; a document's bigrams are joined to them.
 """
 
 from __future__ import annotations
@@ -19,142 +18,163 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD_BUCKETS, PAIR_BUCKETS = 1 << 18, 1 << 20
+from .common import persist
+
+#: Words of the vocabulary for add-one smoothing, at least; all words counted where they are more.
+WORD_BUCKETS = 1 << 18
 BIGRAM_SHARE = 0.6
+#: Stands before a text's first word.
+START = 0
 _SEED = 5
 _KEPT = 300_000
+_FLUSH = 1 << 20
+_ROWS = 1 << 16
 
 
 class WordIds(dict):
-    """Bucket of a word (bytes), remembered; starts afresh when it has grown too large."""
+    """Signed 64-bit hash of a word (bytes), remembered; starts afresh when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > _KEPT:
             self.clear()
-        i = self[word] = xxhash.xxh64_intdigest(word, _SEED) & (WORD_BUCKETS - 1)
+        h = xxhash.xxh64_intdigest(word, _SEED)
+        i = self[word] = h - (1 << 64) if h >= 1 << 63 else h
         return i
 
 
 def tokens(body: bytes, ids: WordIds) -> np.ndarray:
-    """Buckets of the text's words: runs without ASCII white space, A-Z in lower case."""
+    """Hashes of the text's words: runs without ASCII white space, A-Z in lower case."""
     words = body.lower().split()
     return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
 
-def pairs(ids: np.ndarray) -> np.ndarray:
-    """Buckets of the bigrams; the first word follows the start, which is no word."""
-    before = np.concatenate([[WORD_BUCKETS], ids[:-1]]).astype(np.uint64)
-    mixed = before * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed ^= mixed >> np.uint64(31)
-    return ((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) & (PAIR_BUCKETS - 1)
+def before(ids: np.ndarray) -> np.ndarray:
+    """What comes before each word."""
+    return np.concatenate([[START], ids[:-1]]).astype(np.int64)
 
 
-@dataclass
-class Counts:
-    """Counts of words, of words as what comes before (the last: the start), and of bigrams."""
+def distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct bigram is seen first, and for each bigram which of these it is."""
+    key = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + second.astype(np.uint64)
+    return np.unique(key, return_index=True, return_inverse=True)[1:]
 
-    word: np.ndarray
-    before: np.ndarray
-    pair: np.ndarray
 
-    @classmethod
-    def empty(cls) -> Counts:
-        return cls(np.zeros(WORD_BUCKETS, np.int64), np.zeros(WORD_BUCKETS + 1, np.int64), np.zeros(PAIR_BUCKETS, np.int64))
+@dataclass
+class Tally:
+    """Counts of one model: a column of a frame."""
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Share of the word's own estimate, weight of a bigram's count by what comes before, counts."""
-        own = (self.word + 1.0) / (self.word.sum() + WORD_BUCKETS)
-        scale = np.where(self.before > 0, BIGRAM_SHARE / np.maximum(self.before, 1), 0.0)
-        return ((1 - BIGRAM_SHARE) * own), scale, self.pair.astype(np.float64)
+    frame: DataFrame
+    column: str
 
+    def sum(self) -> int:
+        return self.frame.agg(F.sum(self.column)).first()[0] or 0
 
-def loss(ids: np.ndarray, pair: np.ndarray, tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Each token's loss in nats under the tables of a model."""
-    alone, scale, joint = tables
-    before = np.concatenate([[WORD_BUCKETS], ids[:-1]])
-    return -np.log(alone[ids] + joint[pair] * scale[before])
 
+@dataclass
+class Counts:
+    """Counts of words, of words as what comes before (the start too), and of bigrams."""
 
-_NAMES = ("word", "before", "pair")
+    word: Tally
+    before: Tally
+    pair: Tally
 
 
 def count(docs: DataFrame) -> tuple[Counts, Counts]:
     """Counts of ``docs(text, target boolean)``: of the rows where target is true, and of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = WordIds(), {True: Counts.empty(), False: Counts.empty()}
-        wait: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        held = {True: 0, False: 0}
-
-        def flush(side: bool) -> None:
-            own = sums[side]
-            every = np.concatenate([*wait[side], np.zeros(0, np.int64)])
-            own.word += np.bincount(every, minlength=WORD_BUCKETS)
-            own.before += np.bincount(np.concatenate([np.concatenate([[WORD_BUCKETS], w[:-1]]) for w in wait[side]]), minlength=WORD_BUCKETS + 1)
-            own.pair += np.bincount(np.concatenate([pairs(w) for w in wait[side]]), minlength=PAIR_BUCKETS)
-            wait[side], held[side] = [], 0
+        ids, wait, held = WordIds(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            p, w, good = (np.concatenate(x) for x in zip(*wait, strict=True))
+            at, which = distinct(p, w)
+            sums = [np.bincount(which, good, len(at)).astype(np.int64), np.bincount(which, minlength=len(at))]
+            for lo in range(0, len(at), _ROWS):
+                part = slice(lo, lo + _ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(x[part]) for x in (p[at], w[at], *sums)], ["p", "w", "good", "every"])
 
         for batch in batches:
             for target, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 w = tokens(body.as_py(), ids)
                 if len(w):
-                    wait[target].append(w)
-                    held[target] += len(w)
-                    if held[target] > 1 << 20:
-                        flush(target)
-        for side in (True, False):
-            if wait[side]:
-                flush(side)
-        for kind, name in enumerate(_NAMES):
-            good, rest = getattr(sums[True], name), getattr(sums[False], name)
-            at = np.flatnonzero(good + rest)
-            for lo in range(0, len(at), 1 << 16):
-                part = at[lo : lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), kind, np.int8)), pa.array(part.astype(np.int32)), pa.array(good[part]), pa.array(good[part] + rest[part])],
-                    ["kind", "bucket", "good", "every"],
-                )
+                    wait.append((before(w), w, np.full(len(w), target)))
+                    held += len(w)
+                if held > _FLUSH:
+                    yield from flush()
+                    wait, held = [], 0
+        if wait:
+            yield from flush()
 
     rows = docs.select(F.coalesce("target", F.lit(False)).alias("target"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    parts = rows.mapInArrow(run, "kind byte, bucket int, good long, every long")
-    summed = parts.groupBy("kind", "bucket").agg(F.sum("good").alias("good"), F.sum("every").alias("every")).toArrow()
-    kind, bucket = summed.column("kind").to_numpy(), summed.column("bucket").to_numpy()  # one row a bucket at most
-    out = Counts.empty(), Counts.empty()
-    for k, name in enumerate(_NAMES):
-        for side, column in zip(out, ("good", "every"), strict=True):
-            getattr(side, name)[bucket[kind == k]] = summed.column(column).to_numpy()[kind == k]
-    return out
+    sums = [F.sum(c).alias(c) for c in ("good", "every")]
+    pair = persist(rows.mapInArrow(run, "p long, w long, good long, every long").groupBy("p", "w").agg(*sums))
+    word, first = (persist(pair.groupBy(c).agg(*sums)) for c in ("w", "p"))
+    good, every = (Counts(Tally(word, c), Tally(first, c), Tally(pair, c)) for c in ("good", "every"))
+    return good, every
 
 
 def score(docs: DataFrame, target: Counts, background: Counts) -> DataFrame:
     """``(doc_id, n_tokens, target_loss, background_loss, score)`` of every row's whole text.
 
-    Losses are means over tokens in nats, score their difference; null and empty texts have no
-    tokens and zeros.  Repeated rows each keep a row; an empty table gives no rows.
+    Both models are of one ``count``.  Losses are means over tokens in nats, score their
+    difference; null and empty texts have no tokens and zeros.  Repeated rows each keep a row; an
+    empty table gives no rows.
     """
-    both = target.tables(), background.tables()
-    shared = docs.sparkSession.sparkContext.broadcast(both)  # 2 x (2 WORD_BUCKETS + PAIR_BUCKETS) doubles: 25 MB
+    word, first, pair = target.word.frame, target.before.frame, target.pair.frame
+    vocabulary = max(WORD_BUCKETS, word.count())
+    models = [(m.word.column, m.word.sum()) for m in (target, background)]
+
+    def own(n: Column, total: int) -> Column:
+        return (1 - BIGRAM_SHARE) * (n + 1) / F.lit(float(total + vocabulary))
+
+    table = pair.join(word.select("w", *(F.col(c).alias(f"word_{c}") for c, _ in models)), "w")
+    table = table.join(first.select("p", *(F.col(c).alias(f"before_{c}") for c, _ in models)), "p")
+    losses = []
+    for i, (c, total) in enumerate(models):
+        joint = F.when(F.col(f"before_{c}") > 0, BIGRAM_SHARE * F.col(c) / F.col(f"before_{c}")).otherwise(0.0)
+        losses.append((-F.log(own(F.col(f"word_{c}"), total) + joint)).alias(f"loss{i}"))
+    table = table.select("p", "w", *losses)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, (good, every) = WordIds(), shared.value
+        ids, names = WordIds(), ["row", "doc_id", "size", "p", "w", "n"]
         for batch in batches:
-            cols: list[list] = [[], [], []]
-            for body in batch.column(1):
+            for i, body in enumerate(batch.column(2)):
                 w = tokens(body.as_py(), ids)
-                p = pairs(w) if len(w) else w
-                cols[0].append(len(w))
-                cols[1].append(float(loss(w, p, good).mean()) if len(w) else 0.0)
-                cols[2].append(float(loss(w, p, every).mean()) if len(w) else 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())],
-                ["doc_id", "n_tokens", "target_loss", "background_loss"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    out = rows.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double")
+                p = before(w) if len(w) else w
+                at, which = distinct(p, w)
+                n = np.bincount(which, minlength=len(at))
+                if not len(w):  # a row that joins nothing and adds nothing
+                    p, w, at, n = (np.zeros(1, np.int64) for _ in range(4))
+                size = int(n.sum())
+                for lo in range(0, len(at), _ROWS):
+                    part = at[lo : lo + _ROWS]
+                    same = pa.array(np.zeros(len(part), np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(i, 1).take(same), batch.column(1).slice(i, 1).take(same), pa.array(np.full(len(part), size)),
+                         pa.array(p[part]), pa.array(w[part]), pa.array(n[lo : lo + _ROWS])], names,
+                    )
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("body")
+    )
+    seen = rows.mapInArrow(run, "row long, doc_id long, size long, p long, w long, n long").join(table, ["p", "w"], "left")
+    # a bigram that was never counted has its word's own estimate alone
+    rest = F.when(F.col("loss0").isNull(), F.col("w")).alias("rest")
+    sums = [F.sum(F.coalesce(F.col("n") * F.col(f"loss{i}"), F.lit(0.0))).alias(f"sum{i}") for i in range(2)]
+    part = seen.groupBy("row", "doc_id", "size", rest).agg(*sums, F.sum("n").alias("n"))
+    part = part.withColumn("key", F.coalesce("rest", F.xxhash64("row")))  # no key is common to all rows
+    part = part.join(word.withColumnRenamed("w", "key"), "key", "left")
+    total = []
+    for i, (c, n) in enumerate(models):
+        alone = -F.log(own(F.coalesce(F.col(c), F.lit(0)), n)) * F.col("n")
+        total.append(F.sum(F.col(f"sum{i}") + F.when(F.col("rest").isNotNull(), alone).otherwise(0.0)).alias(f"sum{i}"))
+    whole = part.groupBy("row", "doc_id", "size").agg(*total)
+    mean = [F.when(F.col("size") > 0, F.col(f"sum{i}") / F.col("size")).otherwise(0.0) for i in range(2)]
+    out = whole.select("doc_id", F.col("size").alias("n_tokens"), mean[0].alias("target_loss"), mean[1].alias("background_loss"))
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 

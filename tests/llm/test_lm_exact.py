@@ -1,0 +1,16 @@
+from pyspark.sql import functions as F
+
+from lodestar.llm import lm
+
+
+def test_many_words_share_no_count(spark):
+    """400,000 words, each but the last of its text followed by the next one alone: no loss falls below a bigram of probability 1."""
+    rows = [(i, " ".join(f"w{i * 1000 + k}" for k in range(1000))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 400, 2)], "doc_id long, quality int")
+    models = lm.count(lm.labelled_target(docs, labels))
+    out = lm.score(docs, *models)
+    # a bigram that follows a word has its whole share, one at the start 1 in 400 of it
+    low, high = out.agg(F.min("background_loss"), F.max("background_loss")).first()
+    assert high - low < 1e-9
+    assert 0.5 < low < 0.53
