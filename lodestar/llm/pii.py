@@ -23,7 +23,7 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 ACCESS_KEY = r"(?<![A-Za-z0-9_])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_])"
 SECRET = (
-    r"(?<![A-Za-z0-9_])(?:password|passwd|token|secret|api_?key) {0,3}[=:] {0,3}\"?"
+    r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api_?key) {0,3}[=:] {0,3}\"?"
     r"(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{8,}+"
 )
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
