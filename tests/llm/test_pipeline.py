@@ -9,7 +9,7 @@ from lodestar.llm.queries import ORACLE, QUERIES
 from tests.llm.test_mix import brute as mix_brute
 from tests.llm.test_mix import row as mix_row
 from tests.llm.test_pii import brute as pii_brute
-from tests.llm.test_simhash import brute_similar
+from tests.llm.test_similar import brute as brute_similar
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]

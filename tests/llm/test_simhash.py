@@ -72,48 +72,36 @@ def test_chains_and_clouds(spark):
     assert classes({x: got.get(x, x) for x in fps}) == classes({by_id[i]: r for i, r in want.items()})
 
 
-def brute_wide(text, width=5):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    if not words:
-        return 0
-    first = {xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), seed=42) for i in range(max(1, len(words) - width + 1))}
-
-    def mix(z):
-        z = (z + 0x9E3779B97F4A7C15) % (1 << 64)
-        z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9 % (1 << 64)
-        z = (z ^ (z >> 27)) * 0x94D049BB133111EB % (1 << 64)
-        return z ^ (z >> 31)
-
-    out = 0
-    for lane, hashes in enumerate((first, [mix(h) for h in first])):
-        out |= sum(1 << (64 * lane + b) for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(first))
-    return out
-
-
-def brute_similar(texts):
-    """Groups by links that have a segment with one differing bit at most, found by trying all pairs."""
-    most = simhash.bits_at(0.8)
-    items = {i: brute_wide(t) for i, t in texts.items()}
-    linked = lambda x, y: (x ^ y).bit_count() <= most and any(((x ^ y) >> k & 0xFFFF).bit_count() <= 1 for k in range(0, 128, 16))
-    root = {}
-    for start in sorted(items):
-        todo = [start] if start not in root else []
-        root.setdefault(start, start)
-        while todo:
-            i = todo.pop()
-            for j in items:
-                if j not in root and linked(items[i], items[j]):
-                    root[j] = start
-                    todo.append(j)
-    return root
+def test_halves_cover_every_segment():
+    """Each bit is a wildcard once, behind the other half of its segment."""
+    for pieces, n in ((3, 1), (3, 4), (4, 2)):
+        ways = simhash.halves(pieces, n)
+        assert len(ways) == 2 * pieces * n
+        assert sorted((lane, b) for lane, _, free in ways for b in free) == [(lane, b) for lane in range(n) for b in range(64)]
+
+
+def test_split_deals_give_the_same_groups(spark):
+    """Blocks of three rows: every deal of a cloud is split, and its groups stay those of all pairs."""
+    rng = random.Random(11)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    x = rng.getrandbits(64)
+    fps |= {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(80)}
+    items = sorted(enumerate(fps))
+    df = spark.createDataFrame([(i, 1, f - (1 << 64) if f >> 63 else f) for i, f in items], "node long, copies long, f0 long")
+    got = {r.node: r.root for r in simhash.groups(df, block=3).collect()}
+    want = brute_components(items, 4)
+    classes = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert classes(got) == classes(want)
 
 
-def test_similar_texts(docs):
-    assert simhash.bits_at(0.8) == 23
-    root = brute_similar({r.doc_id: r.text for r in docs.collect()})
-    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == root
-    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
-    assert kept == sorted(i for i in root if root[i] == i)
+def test_one_row_of_each_group_stays(spark):
+    """Texts of one id are judged on their own, ids that are null come last, repeats leave one row."""
+    same, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
+    close = same.replace("w99", "end")
+    rows = [(1, same), (2, close), (2, other), (2, other), (None, close), (None, "alone in this table"), (7, "alone in this table too")]
+    out = simhash.keep_one(spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, digest string"))
+    assert out.columns == ["doc_id", "text", "digest"]
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, same), (2, other), (0, "alone in this table"), (7, "alone in this table too")])
 
 
 def test_many_dropped_ids(docs, monkeypatch):
@@ -151,7 +139,7 @@ def test_odd_rows(odd):
     assert by[6].component_id == 1 and by[4].component_id == 3
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 3, 5, 7, 8]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 5, 7, 8]
 
 
 def test_empty_table(odd):

@@ -74,3 +74,31 @@ def test_pairs_at_the_similarity_are_found(spark, low, high):
     rows = pairs(low, high)
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[i + 1] == i for i in range(0, len(rows), 2)) >= 0.98 * len(rows) / 2
+
+
+def test_a_cloud_in_blocks(spark, monkeypatch):
+    """A large group of copies with more and more edits: the groups are those of all pairs."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    texts = {}
+    for i in range(120):
+        own = list(base)
+        for k in rng.sample(range(150), rng.randint(0, 25)):
+            own[k] = f"x{i}y{k}"
+        texts[i] = " ".join(own)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "CLOUD_TEXTS", 16)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == brute(texts)
+
+
+def test_a_passage_replaced_in_one_place_is_found(spark):
+    """Edits side by side change fewer shingles but more bits than scattered ones."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for i in range(100):
+        words = [word() for _ in range(300)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:270] + [word() for _ in range(20)]))]
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i + 1] == i for i in range(0, len(rows), 2)) >= 90
