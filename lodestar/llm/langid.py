@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import LANG_FOLDS, fold
 
-#: Trigram buckets; halved until a model of all languages stays within MODEL_BYTES.
+#: Trigram buckets, whatever the number of languages: a model takes 256 KB for each of them.
 BUCKETS = 1 << 15
-MODEL_BYTES = 64 << 20
+#: Values of ``lang`` that a model is broadcast for (256 MB); more are an error.
+MOST_LANGUAGES = 1024
 ROUNDS, SMOOTHING = 12, 0.5
 UNDETERMINED = "und"
-#: Trigrams worked on at once.
-_CHUNK = 1 << 19
+#: Likelihoods worked on at once: trigrams times languages.
+_CHUNK = 1 << 21
 _letters: np.ndarray | None = None
 
 
@@ -76,7 +77,7 @@ class LanguageModel:
                 at = np.flatnonzero(counts)
                 wait.append((i, at, counts[at]))
                 size += len(at)
-            if size >= _CHUNK or (i == len(texts) - 1 and wait):
+            if size * len(self.languages) >= _CHUNK or (i == len(texts) - 1 and wait):
                 for (k, _, _), found in zip(wait, self._mixtures([w[1] for w in wait], [w[2] for w in wait]), strict=True):
                     out[k] = found
                 wait, size = [], 0
@@ -130,13 +131,13 @@ def fit(docs: DataFrame) -> LanguageModel:
     """Counts over all rows with text and language outside fold 1 of ``LANG_FOLDS``.
 
     Each task sums its own trigrams; what comes to the driver is one table of languages by
-    buckets, within MODEL_BYTES.
+    buckets.  More than MOST_LANGUAGES languages raise ``ValueError``.
     """
     taught = docs.where((fold(F.col("doc_id"), LANG_FOLDS) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r.lang for r in taught.select("lang").distinct().collect())
+    languages = sorted(r.lang for r in taught.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     buckets = BUCKETS
-    while buckets > 256 and buckets * len(languages) * 8 > MODEL_BYTES:
-        buckets //= 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -163,10 +164,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every row and its whole text.
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if no row
-    taught a language.  Repeated rows each keep a row; other columns are ignored; an empty table
+    taught a language.  Texts of any length are read whole.  Repeated rows each keep a row; other columns are ignored; an empty table
     gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # within MODEL_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 256 KB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -130,8 +130,9 @@ def cuts(
 ) -> DataFrame:
     """``(levels..., whole, cut)`` of each leaf: whole epochs, and the last hash of the part epoch.
 
-    ``cut`` is null if the part epoch takes in all rows (a leaf without tokens).  Rows with one
-    hash (repeats of an id) are taken together or not at all.
+    ``cut`` is null where there is no part epoch: a leaf whose budget is whole epochs, or nothing,
+    as that of a leaf without tokens or of weight 0.  Rows with one hash (repeats of an id) are taken
+    together or not at all.
     """
     leaves = meta.groupBy(*levels).agg(F.sum("tokens").alias("tokens"))
     dealt = budgets(leaves, levels, weights, share, epochs)
@@ -151,13 +152,14 @@ def cuts(
     each = each.withColumn("sum", F.col("base") + F.sum("t").over(run)).where(F.col("sum") <= F.col("part"))
     last = each.groupBy(*levels).agg(F.max("h").alias("h"))
     found = cut_cell.join(last, levels, "left").select(*levels, F.coalesce("h", "cell").alias("cut"))
-    return persist(leaf.join(found, levels, "left").select(*levels, "whole", "cut"))
+    cut = F.when(F.col("part") > 0, F.col("cut")).alias("cut")
+    return persist(leaf.join(found, levels, "left").select(*levels, "whole", cut))
 
 
 def copies(rows: DataFrame, leaf_cuts: DataFrame, levels: list[str], seed: int = SEED) -> DataFrame:
     """``rows(doc_id, levels..., ...)`` once for each epoch that takes them, with ``epoch`` from 0."""
     joined = attach(rows, leaf_cuts, levels, leaf_cuts.count())
-    taken = F.coalesce(order_hash(seed, F.col("whole"), F.col("doc_id")) <= F.col("cut"), F.lit(True)).cast("long")
+    taken = F.coalesce(order_hash(seed, F.col("whole"), F.col("doc_id")) <= F.col("cut"), F.lit(False)).cast("long")
     counted = joined.withColumn("n", F.col("whole") + taken).where("n > 0")
     return counted.select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("epoch"))
 
@@ -168,8 +170,10 @@ def mixed(
 ) -> DataFrame:
     """``(doc_id, levels..., tokens, epoch)``: one row for each time a document is taken.
 
-    Null ids, languages and sources form groups of their own; null text has no tokens and is
-    taken with the prefix it falls in; an empty table gives no rows.
+    Null ids, languages and sources form groups of their own.  Null and empty texts have no tokens
+    and are taken with the prefix they fall in; a leaf without tokens gives nothing.  Very long texts
+    count with all their tokens, and a leaf whose next text is longer than what is left ends there.
+    Repeats of an id are taken together; an empty table gives no rows.
     """
     meta = persist(measured(docs, levels))
     return copies(meta, cuts(meta, list(levels), weights, share, epochs, seed), list(levels), seed)
@@ -179,7 +183,7 @@ def mix(
     docs: DataFrame, levels: Mapping[str, str] = LEVELS, weights: Mapping[str, Mapping[str, int]] = WEIGHTS,
     share: tuple[int, int] = (1, 2), epochs: int = 1, seed: int = SEED,
 ) -> DataFrame:
-    """``docs`` with its own columns only, each row as often as epochs take it."""
+    """``docs`` with its own columns only, each row as often as epochs take it, as by ``mixed``."""
     names = {k: f"__{k}" for k in levels}
     keyed = {names[k]: c for k, c in levels.items()}
     meta = persist(measured(docs, keyed))

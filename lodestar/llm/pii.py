@@ -6,21 +6,30 @@ by a keyed hash of the other, modulo the size of its range.  Such a step can be
 map is one-to-one on the values of a format; equal values get equal pseudonyms in all documents.
 Lengths stay, but for the octets of addresses.  What fails validation stays as it is.
 
-The key should come from a secret store; it is a parameter, and only its SHA-256 enters the plan.
+The key is a parameter, and only its SHA-256 enters the plan.  ``key_of`` takes it from the session's
+configuration, where a secret store may put it; without one it makes a key of its own, so nobody who
+reads this file can undo the pseudonyms.
+
+Patterns are matched in time linear in the text: what may repeat is possessive, and what Java would
+match by recursion is bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "key for tests and examples"
+from .common import fresh
+
+#: Setting of the session that holds the key.
+KEY_SETTING = "spark.lodestar.pii.key"
 ROUNDS = 8
 
 # Fixed patterns of the formats.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+"
 ACCESS_KEY = r"(?<![A-Za-z0-9_])AKIA[0-9A-Z]{16}(?![A-Za-z0-9_])"
 SECRET = (
     r"(?<![A-Za-z0-9_])(?i:password|passwd|token|secret|api_?key) {0,3}[=:] {0,3}\"?"
@@ -92,14 +101,19 @@ def _shift(text: Column, digest: Column) -> Column:
     return F.array_join(F.transform(_chars(text), one), "")
 
 
+def _moved(text: Column, digest: Column) -> Column:
+    """``_shift`` with the digest worked out once, not for each character."""
+    return _let(digest, lambda d: _shift(text, d))
+
+
 def feistel_text(key: str, tweak: Column, text: Column) -> Column:
     """A permutation of the texts with the same classes of characters in the same places."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
 
     def turn(s: Column, i: Column) -> Column:
-        return F.when(i % 2 == 0, F.struct(_shift(s["l"], _prf(key, tweak, i, s["r"])).alias("l"), s["r"].alias("r"))).otherwise(
-            F.struct(s["l"].alias("l"), _shift(s["r"], _prf(key, tweak, i, s["l"])).alias("r"))
+        return F.when(i % 2 == 0, F.struct(_moved(s["l"], _prf(key, tweak, i, s["r"])).alias("l"), s["r"].alias("r"))).otherwise(
+            F.struct(s["l"].alias("l"), _moved(s["r"], _prf(key, tweak, i, s["l"])).alias("r"))
         )
 
     return F.reduce(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["l"], s["r"]))
@@ -209,8 +223,12 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
+    """Dates with the year first, the day first (dots), or the month first (slashes); a slashed date
+    whose first number cannot be a month has the day first."""
     first_year = m.rlike("^[0-9]{4}")
-    month_first = m.contains("/") & ~first_year
+    slashed = m.contains("/") & ~first_year
+    day_first = slashed & (F.substring(m, 1, 2).try_cast("int") > 12)
+    month_first = slashed & ~day_first
     year = F.when(first_year, F.substring(m, 1, 4)).otherwise(F.substring(m, 7, 4))
     month = F.when(first_year, F.substring(m, 6, 2)).when(month_first, F.substring(m, 1, 2)).otherwise(F.substring(m, 4, 2))
     day = F.when(first_year, F.substring(m, 9, 2)).when(month_first, F.substring(m, 4, 2)).otherwise(F.substring(m, 1, 2))
@@ -225,8 +243,44 @@ def _date(key: str, m: Column) -> Column:
 
         return F.when((n >= 0) & (n < WEEKS * STEP), _let(halves, done)).otherwise(m)
 
-    number = F.datediff(F.concat_ws("-", year, month, day).try_cast("date"), F.lit(FIRST_DAY).cast("date"))
-    return F.when(year.between("1900", "2099"), _let(number.cast("long"), go)).otherwise(m)
+    date = F.concat_ws("-", year, month, day).try_cast("date")
+    number = F.datediff(date, F.lit(FIRST_DAY).cast("date")).cast("long")
+    moved = F.when(day_first, _late_day(key, m, date)).otherwise(_let(number, go))
+    return F.when(year.between("1900", "2099") & date.isNotNull(), moved).otherwise(m)
+
+
+def _late_day(key: str, m: Column, date: Column) -> Column:
+    """dd/mm/yyyy with a day above 12, moved among dates of which the same can be told.
+
+    Days that every month has move with the month; the 29th and 30th with the months but February;
+    the 31st with its seven months; the 29th of February with the leap years.
+    """
+
+    def go(d: Column) -> Column:
+        y, mo, day = F.year(d).cast("long"), F.month(d), F.dayofmonth(d)
+        leap = (mo == 2) & (day == 29)
+        months = F.when(day < 29, F.array(*map(F.lit, range(1, 13)))).when(leap, F.array(F.lit(2)))
+        months = months.when(day < 31, F.array(*map(F.lit, (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)))).otherwise(F.array(*map(F.lit, (1, 3, 5, 7, 8, 10, 12))))
+        first = F.when(day < 29, F.lit(13)).when(leap | (day < 31), F.lit(29)).otherwise(F.lit(31))
+        n_days = F.when(day < 29, F.lit(16)).when(leap | (day == 31), F.lit(1)).otherwise(F.lit(2))
+        left = F.when(leap, F.floor((y - 1904) / 4)).otherwise(y - 1900)
+
+        def moved(ms: Column) -> Column:
+            right = (day - first) * F.size(ms) + F.array_position(ms, mo) - 1
+            tweak = F.concat_ws(",", F.lit("day first"), first.cast("string"), F.size(ms).cast("string"))
+            halves = feistel(key, tweak, left, right, F.when(leap, F.lit(49)).otherwise(F.lit(200)), F.size(ms) * n_days)
+
+            def done(s: Column) -> Column:
+                pad = lambda c, k: F.lpad(c.cast("string"), k, "0")
+                new = F.when(leap, s["l"] * 4 + 1904).otherwise(s["l"] + 1900)
+                at = (s["r"] % F.size(ms)).cast("int")
+                return F.concat_ws("/", pad(F.floor(s["r"] / F.size(ms)) + first, 2), pad(F.get(ms, at), 2), pad(new, 4))
+
+            return _let(halves, done)
+
+        return _let(months, moved)
+
+    return _let(date, go)
 
 
 def _email(key: str, m: Column) -> Column:
@@ -239,7 +293,7 @@ def _secret(key: str, m: Column) -> Column:
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), feistel_text(key, F.lit("secret"), value))
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one value that ``ANY`` matched."""
     k = hashlib.sha256(key.encode()).hexdigest()
     whole = lambda p: m.rlike(f"^(?:{p})$")
@@ -256,24 +310,36 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return F.coalesce(out, m)
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
-    """``docs`` with every personal value of ``text`` replaced, and ``__n``: how many were.
+def key_of(spark: SparkSession) -> str:
+    """The configured key; a new one, kept nowhere, where none is set."""
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
-    Null texts stay null; rows, their order of columns and all other columns stay as they are.
+
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
+    """``docs`` with every personal value of ``text`` replaced, and how many were as last column.
+
+    That column is called ``count``, with underscores before it where ``docs`` has such a column.
+    Null texts stay null and have none replaced, empty texts likewise; texts of any length are
+    searched whole, in time that grows with their length.  Rows, repeated ones too, their order of
+    columns and all other columns stay as they are; an empty table gives no rows.
     """
-    own = [c for c in docs.columns]
     t = F.col(text)
-    found = docs.withColumn(
-        "__found", F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    count, found, masked = (fresh(docs, c) for c in (count, "__found", "__masked"))
+    out = docs.withColumn(
+        found, F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     )
-    masked = found.withColumn("__masked", F.transform("__found", lambda m: pseudonym(m, key)))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("__masked"), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    new = F.when(F.size("__found") > 0, F.array_join(pieces, "")).otherwise(t)
-    changed = F.size(F.filter(F.zip_with("__found", "__masked", lambda a, b: a != b), lambda x: x))
-    return masked.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in own), changed.alias("__n"))
+    out = out.withColumn(masked, F.transform(found, lambda m: pseudonym(m, key)))
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col(masked), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    new = F.when(F.size(found) > 0, F.array_join(pieces, "")).otherwise(t)
+    changed = F.size(F.filter(F.zip_with(found, masked, lambda a, b: a != b), lambda x: x))
+    return out.select(*(new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns), changed.alias(count))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with its own columns and personal values replaced; ``n_chars`` follows the text."""
-    out = pseudonymised(docs, key).drop("__n")
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with its own columns and personal values replaced; ``n_chars`` follows the text.
+
+    Rows are treated as by ``pseudonymised``.
+    """
+    made = pseudonymised(docs, key)
+    out = made.drop(made.columns[-1])
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out

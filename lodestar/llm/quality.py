@@ -10,7 +10,6 @@ network has not seen, calibrates the probability.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -21,16 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LABEL_FOLDS, fold
-from .labelled import labelled_sample
+from .common import LABEL_FOLDS, fold, fresh
+from .labelled import SAMPLE_CHARS, labelled_sample
 
 FIT_DOCS = {0: 2500, 1: 3500}
 DIM, NONZERO, CONTEXT = 48, 6, 2
 #: Words of the fitting sample with vectors of their own, at most.
 VOCABULARY = 20_000
 HIDDEN, EPOCHS, RATE = 32, 25, 3e-3
-_PARTS = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.S)
-_KEPT_WORDS = 200_000
+#: Words that a Python worker remembers before it starts afresh, and the length of the longest such.
+_KEPT_WORDS, _KEPT_CHARS = 200_000, 64
 
 
 def index_vector(token: str) -> np.ndarray:
@@ -40,9 +39,19 @@ def index_vector(token: str) -> np.ndarray:
     return v
 
 
+def parts(word: str) -> tuple[str, str, str]:
+    """Signs before, the word itself, signs behind: each end is looked at once."""
+    a, b = 0, len(word)
+    while a < b and not word[a].isalnum():
+        a += 1
+    while b > a and not word[b - 1].isalnum():
+        b -= 1
+    return word[:a], word[a:b], word[b:]
+
+
 def look(word: str) -> list[str]:
     """What a word's look tells, as tokens: signs before it and behind it, its case and kind."""
-    before, core, behind = _PARTS.match(word).groups()
+    before, core, behind = parts(word)
     out = [f"<before {before[:3]}>"] if before else []
     if core:
         kind = "digits" if core.isdigit() else "mixed" if any(map(str.isdigit, core)) else "up" if core.isupper() and len(core) > 1 else "title" if core[0].isupper() else "low"
@@ -53,7 +62,7 @@ def look(word: str) -> list[str]:
 
 
 def core(word: str) -> str:
-    return _PARTS.match(word)[2].lower()
+    return parts(word)[1].lower()
 
 
 def repeats(words: list[str], text: str) -> tuple[int, int]:
@@ -107,7 +116,9 @@ class QualityModel:
         for w in words:
             i = kept.get(w)
             if i is None:
-                i = kept[w] = self._row(w)
+                i = self._row(w)
+                if len(w) <= _KEPT_CHARS:
+                    kept[w] = i
             at.append(i)
         total = np.zeros(DIM + 1, np.float64)
         for i in range(0, len(at), 1 << 14):
@@ -202,11 +213,12 @@ def fit_texts(sample: list[tuple[str, int]]) -> QualityModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = FIT_DOCS) -> QualityModel:
-    return fit_texts(labelled_sample(docs, labels, "quality", per_class))
+def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = FIT_DOCS, max_chars: int = SAMPLE_CHARS) -> QualityModel:
+    """A model from ``labelled_sample`` by ``labels.quality``; without both classes it scores the prior."""
+    return fit_texts(labelled_sample(docs, labels, "quality", per_class, max_chars))
 
 
-def scored(docs: DataFrame, model: QualityModel, name: str = "__score") -> DataFrame:
+def scored(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:
     """``docs`` with one more column: the probability of good quality of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most VOCABULARY vectors, some 4 MB
 
@@ -222,7 +234,8 @@ def scored(docs: DataFrame, model: QualityModel, name: str = "__score") -> DataF
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row; null and empty texts pool to zeros.
 
-    Repeated rows each keep a row; other columns are ignored; an empty table gives no rows.
+    Texts of any length are pooled whole, a stretch of words at a time.  Repeated rows each keep a
+    row; null ids count as held out; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), LABEL_FOLDS) == 0).alias("held_out"), "text")
     out = scored(rows, model, "score").drop("text")
@@ -231,4 +244,5 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that are predicted good, with its own columns."""
-    return scored(docs, model).where(F.col("__score") >= threshold).drop("__score")
+    name = fresh(docs, "__score")
+    return scored(docs, model, name).where(F.col(name) >= threshold).drop(name)

@@ -155,7 +155,7 @@ part AS (
 ), summed AS (
   SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) AS upto FROM hashed
 ), counted AS (
-  SELECT *, whole + CASE WHEN upto <= part THEN 1 ELSE 0 END AS n FROM summed
+  SELECT *, whole + CASE WHEN part > 0 AND upto <= part THEN 1 ELSE 0 END AS n FROM summed
 )
 SELECT doc_id, domain, lang, source, tokens, unnest(range(n)) AS epoch FROM counted WHERE n > 0
 """
@@ -163,8 +163,7 @@ SELECT doc_id, domain, lang, source, tokens, unnest(range(n)) AS epoch FROM coun
 
 @query
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumnRenamed("__n", "n_replaced")
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
 
 
 @query

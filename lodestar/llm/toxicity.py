@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LABEL_FOLDS, fold
-from .labelled import labelled_sample
+from .labelled import SAMPLE_CHARS, labelled_sample
 
 #: Labelled documents used to fit: at most so many of each class.
 FIT_DOCS = {1: 3000, 0: 6000}
@@ -194,8 +194,9 @@ def fit_texts(sample: list[tuple[str, int]]) -> ToxicityModel:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = FIT_DOCS) -> ToxicityModel:
-    return fit_texts(labelled_sample(docs, labels, "toxic", per_class))
+def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = FIT_DOCS, max_chars: int = SAMPLE_CHARS) -> ToxicityModel:
+    """A model from ``labelled_sample`` by ``labels.toxic``; without both classes it scores the prior."""
+    return fit_texts(labelled_sample(docs, labels, "toxic", per_class, max_chars))
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -61,6 +61,50 @@ def test_a_toxic_window_is_found():
     assert model.score(None) == model.score("") < 0.5
 
 
+def brute_pooled(model, text):
+    """The mean of the vectors of a text's tokens, one token at a time."""
+    words, vectors = text.split(), []
+    for w in words:
+        own = quality.core(w)
+        vectors += [model.vector(t) for t in [*quality.look(w), own if own in model.vectors else "<rare>"]]
+    vectors += [model.vector("<again>") for a, b in zip(words, words[1:]) if a == b]
+    lines = text.split("\n")
+    vectors += [model.vector("<line again>") for i, x in enumerate(lines) if x in lines[:i]]
+    mean = np.mean(vectors, 0) if vectors else np.zeros(quality.DIM)
+    return np.append(mean, np.log1p(len(words)) / 10)
+
+
+def test_quality_against_one_token_at_a_time(docs, spark):
+    model = quality.fit(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = [r.text for r in docs.collect()] + ["", "a a a\n\nb\nb", "... --- !!!", "_x_ É9 ABC"]
+    mean, scale, w1, b1, w2, b2 = model.net
+    for t, got in zip(texts, model.score(texts), strict=True):
+        hidden = [max(0.0, float(sum((x - m) / s * w for x, m, s, w in zip(brute_pooled(model, t), mean, scale, w1[:, k], strict=True)) + b1[k])) for k in range(len(b1))]
+        z = (sum(h * w for h, w in zip(hidden, w2, strict=True)) + float(b2)) / model.temperature
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -40, 40))), abs=1e-4)
+
+
+def test_words_of_many_signs_take_little_time():
+    import time
+
+    for word in ("a" + "-" * 1_000_000 + "a", "-" * 1_000_000, "a-" * 500_000):
+        began = time.monotonic()
+        assert "".join(quality.parts(word)) == word
+        quality.look(word)
+        assert time.monotonic() - began < 2
+
+
+def test_samples_are_full_and_clashes_harmless(spark):
+    docs = spark.createDataFrame([(i, "x" * (30_000 if i % 2 else 10), 1.0) for i in range(400)], "doc_id long, text string, __score double")
+    labels = spark.createDataFrame([(i, i // 2 % 2) for i in range(400)], "doc_id long, quality int")
+    from lodestar.llm.labelled import labelled_sample
+
+    assert len(labelled_sample(docs, labels, "quality", {0: 30, 1: 40})) == 70
+    assert max(len(t) for t, _ in labelled_sample(docs, labels, "quality", {0: 300, 1: 300}, max_chars=40_000)) == 30_000
+    out = quality.keep_good(docs, quality.fit(docs, labels), 0.0)
+    assert out.columns == docs.columns and out.where("__score = 1").count() == 400
+
+
 def brute_em(model, text):
     """One document at a time, all nested sets tried."""
     grams = langid.trigrams(text, model.buckets)

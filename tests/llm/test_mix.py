@@ -47,7 +47,7 @@ def brute(rows, share, epochs):
         mine = [(i, t) for i, *p, t in rows if tuple(p) == path]
         h = lambda i: hashlib.md5(f"{mix.SEED}:{whole}:{'null' if i is None else i}".encode()).hexdigest()
         for i, t in mine:
-            n = whole + (sum(u for j, u in mine if h(j) <= h(i)) <= part)
+            n = whole + (part > 0 and sum(u for j, u in mine if h(j) <= h(i)) <= part)
             out += [(i, *path, t, e) for e in range(n)]
     return out
 
@@ -83,3 +83,18 @@ def test_shortage_goes_to_siblings_first(spark):
     leaves = spark.createDataFrame(rows, "domain string, lang_group string, source_group string, tokens long")
     got = {tuple(r)[:3]: r.budget for r in mix.budgets(leaves, LEVELS, {}, (400, 3010), 1).collect()}
     assert got == {("d0", "en", "a"): 10, ("d0", "en", "b"): 90, ("d0", "fr", "a"): 100, ("d1", "en", "a"): 200}
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_texts_without_tokens_are_not_taken_beyond_the_epochs(spark, seed):
+    rows = [(i, "" if i % 3 else "one two three", "en", "s1") for i in range(30)]
+    rows += [(100 + i, None, "en", "s2") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for share, epochs in (((1, 1), 1), ((2, 1), 2), ((1, 2), 1)):
+        out = mix.mix(docs, share=share, epochs=epochs, seed=seed).groupBy("doc_id").count().collect()
+        assert max((r["count"] for r in out), default=0) <= epochs
+        assert {r.doc_id for r in out} <= set(range(30))
+        if share[0] == epochs * share[1]:
+            assert {r.doc_id: r["count"] for r in out} == dict.fromkeys(range(30), epochs)
+    none = {"lang_group": {"en": 0}}
+    assert mix.mix(docs, weights=none, seed=seed).count() == 0

@@ -8,6 +8,7 @@ from lodestar.llm import pieces, pii, quality
 from lodestar.llm.queries import ORACLE, QUERIES
 from tests.llm.test_mix import brute as mix_brute
 from tests.llm.test_mix import row as mix_row
+from tests.llm.test_pii import KEY
 from tests.llm.test_pii import brute as pii_brute
 from tests.llm.test_similar import brute as brute_similar
 
@@ -34,6 +35,7 @@ def test_stages_against_brute_force(spark, docs):
     one = [r for r in kept if root[r.doc_id] == r.doc_id]
     assert sorted(unique.collect()) == sorted(one) and len(one) < len(kept)
 
+    spark.conf.set(pii.KEY_SETTING, KEY)
     masked = stages[2](spark, unique, SF)
     assert masked.columns == COLUMNS
     by = {r.doc_id: r for r in masked.collect()}

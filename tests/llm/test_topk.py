@@ -38,6 +38,17 @@ def test_against_all_scores(spark, block_rows, chunk_bytes):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == brute(rows, 5, lambda i: i % 10 == 0)
 
 
+def test_components_of_any_size(spark):
+    """Exact ranks where doubles and longs would not do; scores beyond a long are its ends."""
+    big = [70000.0, 1e6, 2.0**40, 1e300, -1e300]
+    rows = [(100 * i, [x, 1.0]) for i, x in enumerate(big)] + [(i, [big[i % 5], float(i)]) for i in range(1, 12)] + [(50, [2.0**60, 0.5]), (51, [2.0**60, 0.25])]
+    df = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), 4).collect()
+    end = (1 << 63) - 1
+    want = {(q, n, i, max(min(s, end), -end - 1)) for q, n, i, s in brute(rows, 4, lambda i: i % 100 == 0)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+
+
 def test_stops_early():
     import numpy as np
 
