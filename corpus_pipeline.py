@@ -27,8 +27,8 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal numbers, dates and addresses by pseudonyms."""
-    return pii.pseudonymise(docs)
+    """Replace personal numbers, dates and addresses by pseudonyms, under the session's key."""
+    return pii.pseudonymise(docs, pii.key_of(spark))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,15 +57,23 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of ``sf_dir``.
 
     The rows between stages are written to the folder that ``spark.checkpoint.dir`` names, and
-    dropped once the next stage is written.
+    dropped once the next stage is written; if a stage fails, all of them are.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
     folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
-        docs = spark.read.parquet(f"{folder}/{i}")
-        if i:
-            before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
-            before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
+
+    def drop(path: str) -> None:
+        before = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        before.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(before, True)
+
+    try:
+        for i, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                drop(f"{folder}/{i - 1}")
+    except BaseException:
+        drop(folder)
+        raise
     return docs
