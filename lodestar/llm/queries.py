@@ -187,8 +187,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    target, background = lm.count(lm.labelled_target(docs, table(spark, sf_dir, "labels")))
-    return lm.score(docs, target, background)
+    return lm.score(lm.labelled_target(docs, table(spark, sf_dir, "labels")))
 
 
 @query
