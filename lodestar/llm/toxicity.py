@@ -1,7 +1,9 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Two dictionaries are trained: one on ordinary text, one on what recurs in toxic texts and is
-nearly unknown to ordinary ones.  A text is cut into windows of words, long ones and single
+nearly unknown to ordinary ones.  (Trained on whole toxic texts, which are ordinary for the most
+part, the second finds three quarters of the toxic documents where one in a hundred others is
+flagged; so it is only where nothing recurs that whole texts train it.)  A text is cut into windows of words, long ones and single
 words, and each is compressed twice: primed with the ordinary dictionary alone, and primed with
 both.  (The first is padded to the same length, so match offsets cost the same and the difference
 is what the toxic dictionary saves.)  A window is toxic from a saving that few ordinary windows reach; a logistic curve,
@@ -18,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +90,7 @@ def recurrence(texts: list[str], among: set[bytes] | None = None) -> dict[bytes,
             where = None
             for u in units(word):
                 if among is None or u in among:
-                    where = where if where is not None else hash((before, behind)) >> 31
+                    where = where if where is not None else xxhash.xxh3_64_intdigest(before + b" " + behind) >> 31
                     of.append(number.setdefault(u, len(number)))
                     place.append(where)
     if not number:
@@ -181,8 +184,7 @@ def fit_texts(sample: list[tuple[str, int]]) -> ToxicityModel:
     known = recurrence(train[0], set(found))
     recurs = {w for w, c in found.items() if c / n1 > LEAST_RATIO * (known.get(w, 0) + 0.5) / n0}
     tell = [b" " + b" ".join(own) + b" " for t in train[1] if (own := [w for w in words(t) if any(u in recurs for u in units(w))])]
-    if not tell:
-        return ToxicityModel(b"", b"", [], np.zeros(0), prior)
+    tell = tell or [b" " + b" ".join(words(t)) + b" " for t in train[1]]
     ordinary = _train([b" " + b" ".join(words(t)) + b" " for t in train[0]], ORDINARY_BYTES, 8, 16)
     toxic = _train(tell, TOXIC_BYTES, 6, 16)
     model = ToxicityModel(ordinary, toxic, [], np.zeros(0), prior)
@@ -202,8 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = FIT_DOCS
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every row and its whole text.
 
-    Null and empty texts have no window and get the curve's value for no saving.  Repeated rows
-    each keep a row; other columns are ignored; an empty table gives no rows.
+    Null and empty texts have no window and get the curve's value for no saving; texts of any length
+    are cut into windows whole.  Repeated rows each keep a row; null ids count as held out; other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries, under 20 KB
 

@@ -61,6 +61,39 @@ def test_a_toxic_window_is_found():
     assert model.score(None) == model.score("") < 0.5
 
 
+def test_toxicity_against_one_window_at_a_time(docs, spark):
+    """Every window compressed anew by coders made for it; the model is the same whenever it is fitted."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = toxicity.fit(many, labels)
+    again = toxicity.fit(many, labels)
+    assert (model.ordinary, model.toxic, model.thresholds) == (again.ordinary, again.toxic, again.thresholds)
+
+    def saved(some):
+        x = toxicity.CARRIER + b" " + b" ".join(some) + b" "
+        cost = [len(toxicity._compressor(model.ordinary + d + toxicity.CARRIER).compress(x)) for d in (bytes(len(model.toxic)), model.toxic)]
+        return cost[0] - cost[1]
+
+    rows = sorted(docs.collect(), key=lambda r: len(r.text))[:6]
+    for r in rows:
+        w, features = toxicity.words(r.text), []
+        for width, threshold in zip(toxicity.WIDTHS, model.thresholds, strict=True):
+            s = [saved(w[i : i + width]) for i in range(0, len(w), width)]
+            scale = toxicity.WIDTHS[0] / width
+            hit = sum(x >= threshold for x in s)
+            features += [scale * sum(s) / len(s), scale * sum(x for x in s if x > 0) / len(s), scale * hit / len(s), min(max(s), 12) / 4, np.log1p(hit)]
+            features += [scale * sum(x >= g for x in s) / len(s) for g in range(1, toxicity.GAINS + 1)]
+        z = model.weights[0] + sum(f * v for f, v in zip(features, model.weights[1:], strict=True))
+        assert model.score(r.text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_toxic_texts_of_ordinary_words_still_train_a_dictionary():
+    clean = [(f"the {a} house stands by the {b} river", 0) for a in "abcdefgh" for b in "ijklmnop"]
+    toxic = [(f"river the by {b} stands house {a} the", 1) for a in "abcdefgh" for b in "ijklmnop"]
+    model = toxicity.fit_texts(clean + toxic)
+    assert model.toxic and 0 <= model.score("river the by q stands house r the") <= 1
+
+
 def brute_pooled(model, text):
     """The mean of the vectors of a text's tokens, one token at a time."""
     words, vectors = text.split(), []
