@@ -8,13 +8,15 @@ from __future__ import annotations
 import argparse
 import logging
 import os
+import signal
 import sys
+import threading
 
 from pyspark.sql import SparkSession
 
 from .operators.index import Store
 from .operators.render import rendered
-from .operators.search import has_match, search
+from .operators.search import search, within
 from .operators.state import refresh
 from .plans.query import QuerySyntaxError, parse
 from .schema import DIRTY
@@ -46,12 +48,10 @@ def run(spark: SparkSession, folder: str, text: str, limit: int = 0, max_matches
     repo = git.resolve_repo(folder)
     cache = os.path.join(repo, CACHE)
     store = Store(spark, f"file://{cache}")
-    exclude = os.path.join(repo, ".git", "info", "exclude")
-    if os.path.isdir(os.path.dirname(exclude)):
-        known = open(exclude).read() if os.path.exists(exclude) else ""
-        if f"/{CACHE}/" not in known.split("\n"):
-            with open(exclude, "a") as f:
-                f.write(("" if known.endswith("\n") or not known else "\n") + f"/{CACHE}/\n")
+    try:
+        git.exclude(repo, f"/{CACHE}/")
+    except OSError as e:  # then the cache shows up as a change, and each search indexes again
+        log.warning("the cache folder is not excluded: %s", e)
     state = git.repo_state(repo)
     try:
         log.info("index: %s", refresh(spark, repo, store, os.path.join(cache, "lock"), state))
@@ -60,8 +60,23 @@ def run(spark: SparkSession, folder: str, text: str, limit: int = 0, max_matches
             raise
         log.warning("indexing failed: %s", e)
     dirty = spark.createDataFrame([(f,) for f in state.files], DIRTY)
-    found = search(store.read(), text, dirty, limit, max_matches)
-    return rendered(found) if has_match(found) else ""
+    now = store.manifest()
+
+    def answer() -> str:
+        return rendered(search(store.numbered(now), text, dirty, limit, max_matches, index=store.index(now)))
+
+    return within(spark, answer)
+
+
+def stop_jobs(spark: SparkSession) -> None:
+    """End on a signal: running jobs are cancelled first."""
+
+    def stop(number: int, _) -> None:
+        spark.sparkContext.cancelAllJobs()
+        sys.exit(128 + number)
+
+    for number in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(number, stop)
 
 
 def main(args: list[str] | None = None) -> int:
@@ -74,7 +89,10 @@ def main(args: list[str] | None = None) -> int:
         return 2
     logging.basicConfig(level=logging.INFO if options.verbose else logging.ERROR)
     try:
-        out = run(session(), os.getcwd(), options.query, options.limit, options.max_matches)
+        spark = session()
+        if threading.current_thread() is threading.main_thread():
+            stop_jobs(spark)
+        out = run(spark, os.getcwd(), options.query, options.limit, options.max_matches)
     except QuerySyntaxError as e:
         print(f"query: {e}", file=sys.stderr)
         return 2

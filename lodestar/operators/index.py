@@ -1,8 +1,9 @@
 """Index structures: trigram postings for pruning, shards by bytes, and a store on disk.
 
 A store is a folder of immutable Parquet versions and a manifest that names the current ones.
-Publishing writes a new version and then swaps the manifest in one rename, so readers need no
-lock: they keep the versions they started with.
+Publishing writes a new version and then renames the manifest over the old one in one step, so
+readers need no lock: they keep the versions they started with.  A version that a publication
+replaces stays until the next one.
 """
 
 from __future__ import annotations
@@ -10,36 +11,46 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..plans.query import And, Atom, Node, Or, parse
+from ..plans.query import And, Atom, Node, Or, Query, parse, scoring_atoms
 from ..schema import CORPUS
+from .settled import settled
 
 SHARD_BYTES = 10 * 1024 * 1024
 GRAM = 3
 #: Alternatives that an ``And`` makes, at most; a part that would make more is not asked for.
 ALTERNATIVES = 64
+#: Files that a scan is told by their numbers, at most; more are joined.
+LISTED = 1000
+#: Code points that are turned into grams at once.
+_CHARS = 1 << 21
+_BITS = 21
 
 
 def shards(corpus: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     """``(path, repo, bytes, shard)``: files in path order, cut where the running sum passes limits.
 
-    The running sum goes over prefixes of the path first (one small row for each folder), then
-    within each, so no task orders all files.
+    The files are dealt by ranges of that order; a running sum over the ranges' totals (a row each)
+    comes before the one inside each range, so no task orders all files or a whole folder.
     """
     size = F.octet_length(F.coalesce("content", F.lit(""))).cast("long")
-    files = corpus.select("path", "repo", size.alias("bytes"), F.substring_index("path", "/", 1).alias("__top"))
-    files = files.withColumn("__top", F.when(F.instr("path", "/") > 0, F.concat("__top", F.lit("/"))).otherwise(F.col("path")))
-    tops = files.groupBy("__top").agg(F.sum("bytes").alias("t"))
-    order = Window.orderBy("__top").rowsBetween(Window.unboundedPreceding, -1)
-    base = tops.select("__top", F.coalesce(F.sum("t").over(order), F.lit(0)).alias("base"))
-    within = Window.partitionBy("__top").orderBy("path", "repo").rowsBetween(Window.unboundedPreceding, 0)
-    summed = files.withColumn("upto", F.sum("bytes").over(within)).join(base, "__top").withColumn("upto", F.col("upto") + F.col("base"))
+    top = F.when(F.instr("path", "/") > 0, F.concat(F.substring_index("path", "/", 1), F.lit("/"))).otherwise(F.col("path"))
+    order = ["__top", "path", "repo"]
+    files = corpus.select("path", "repo", size.alias("bytes"), top.alias("__top")).repartitionByRange(*order)
+    files = settled(files.withColumn("__range", F.spark_partition_id()))
+    totals = files.groupBy("__range").agg(F.sum("bytes").alias("t"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = totals.select("__range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = files.withColumn("upto", F.sum("bytes").over(within)).join(base, "__range").withColumn("upto", F.col("upto") + F.col("base"))
     return summed.select("path", "repo", "bytes", F.floor((F.greatest("upto", F.lit(1)) - 1) / limit).cast("long").alias("shard"))
 
 
@@ -48,19 +59,57 @@ def grams_of(text: str) -> set[str]:
     return {g for i in range(len(text) - GRAM + 1) if "\n" not in (g := text[i : i + GRAM])}
 
 
+def gram_code(gram: str) -> int:
+    """A gram as one number: its three code points."""
+    code = 0
+    for c in gram:
+        code = code << _BITS | ord(c)
+    return code
+
+
+def gram_text(code: Column) -> Column:
+    """The gram that a number stands for."""
+
+    @F.pandas_udf("string")
+    def text(codes):
+        return codes.map(lambda x: "".join(chr(x >> _BITS * i & ((1 << _BITS) - 1)) for i in (2, 1, 0)))
+
+    return text(code)
+
+
+def file_number() -> Column:
+    """A number for each file; should two files ever share one, both are looked at."""
+    return F.xxhash64("path", "repo")
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """``(gram, path, repo)``: the distinct trigrams of each file's lines and path, in lower case."""
+    """``(gram, file)``: the distinct trigrams of each file's lines and path, in lower case, as numbers."""
+
+    def found(numbers: list[int], texts: list[str]) -> pa.RecordBatch:
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        inside = points != 10
+        here = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:]) if len(points) > 2 else np.zeros(0, np.int64)
+        code, which = np.unique(points[here] << 2 * _BITS | points[here + 1] << _BITS | points[here + 2], return_inverse=True)
+        both = np.unique(owner[here] * max(len(code), 1) + which)
+        own = np.array(numbers, np.int64)[both // max(len(code), 1)]
+        return pa.RecordBatch.from_arrays([pa.array(code[both % max(len(code), 1)]), pa.array(own)], ["gram", "file"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, texts, held = [], [], 0
         for batch in batches:
-            for path, repo, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                grams = sorted(grams_of(content or "") | grams_of(path))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams, pa.string()), pa.array([path] * len(grams), pa.string()), pa.array([repo] * len(grams), pa.string())],
-                    ["gram", "path", "repo"],
-                )
+            for number, path, content in zip(*(batch.column(i) for i in range(3)), strict=True):
+                text = f"{(content.as_py() or '').lower()}\n{path.as_py().lower()}\n"
+                numbers.append(number.as_py())
+                texts.append(text)
+                held += len(text)
+                if held >= _CHARS:
+                    yield found(numbers, texts)
+                    numbers, texts, held = [], [], 0
+        if texts:
+            yield found(numbers, texts)
 
-    return corpus.select("path", "repo", "content").mapInArrow(run, "gram string, path string, repo string")
+    return corpus.select(file_number().alias("file"), "path", "content").mapInArrow(run, "gram long, file long")
 
 
 def required(node: Node) -> list[set[str]]:
@@ -79,28 +128,61 @@ def required(node: Node) -> list[set[str]]:
     return [set()]
 
 
-def candidates(index: DataFrame, text: str) -> DataFrame | None:
-    """``(path, repo)`` of files that may match, by counting required grams; None if all may.
+def wanted(query: Query) -> list[set[str]] | None:
+    """Sets of trigrams: a file that holds none of them in full neither satisfies the query nor holds
+    anything that scores.  None if every file may.
 
     Where the parts of an ``And`` would make more than ALTERNATIVES, the further ones are left to
     the query's own test, by which fewer grams are asked for, never more.
     """
-    sets = required(parse(text).root)
-    if any(not s for s in sets):
+    sets = required(query.root)
+    for atom in scoring_atoms(query.root):
+        sets = sets + required(atom)
+    return None if any(not s for s in sets) else sets
+
+
+def candidates(index: DataFrame, query: Query) -> DataFrame | None:
+    """Numbers of the files that may match or count for a score, by the grams they hold; None if all may."""
+    sets = wanted(query)
+    if sets is None:
         return None
-    wanted = sorted(set().union(*sets))
-    found = index.where(F.col("gram").isin(wanted)).groupBy("path", "repo").agg(F.collect_set("gram").alias("grams"))
-    tests = [F.size(F.array_intersect("grams", F.array(*map(F.lit, sorted(s))))) == len(s) for s in sets]
-    keep = tests[0]
-    for t in tests[1:]:
-        keep = keep | t
-    return found.where(keep).select("path", "repo")
+    coded = [sorted(map(gram_code, s)) for s in sets]
+    every = sorted({g for s in coded for g in s})
+    held = [F.count_if(F.col("gram").isin(s)).alias(f"n_{i}") for i, s in enumerate(coded)]
+    found = index.where(F.col("gram").isin(every)).groupBy("file").agg(*held)
+    keep = F.lit(False)
+    for i, s in enumerate(coded):
+        keep = keep | (F.col(f"n_{i}") >= len(s))
+    return found.where(keep).select("file")
+
+
+@dataclass
+class Index:
+    """Postings of a collection, the number of its files, and their length in characters."""
+
+    postings: DataFrame
+    files: int
+    chars: int
+
+    def narrowed(self, corpus: DataFrame, query: Query) -> DataFrame | None:
+        """``corpus`` rows that the index cannot rule out; None if that is all of them.
+
+        Few files are named to the scan, which then skips pages of a sorted store; more are joined.
+        """
+        keep = candidates(self.postings, query)
+        if keep is None:
+            return None
+        keep = settled(keep)
+        rows = corpus if "file" in corpus.columns else corpus.withColumn("file", file_number())
+        few = [r.file for r in keep.limit(LISTED + 1).collect()]
+        rows = rows.where(F.col("file").isin(few)) if len(few) <= LISTED else rows.join(keep, "file", "left_semi")
+        return rows.select(*(F.col(f"`{c}`") for c in corpus.columns))
 
 
 def pruned(corpus: DataFrame, index: DataFrame, text: str) -> DataFrame:
     """``corpus`` rows that the index cannot rule out; the query's own test comes after."""
-    keep = candidates(index, text)
-    return corpus if keep is None else corpus.join(keep, ["path", "repo"], "left_semi")
+    keep = Index(index, 0, 0).narrowed(corpus, parse(text))
+    return corpus if keep is None else keep
 
 
 @dataclass
@@ -109,6 +191,13 @@ class Manifest:
     head: str = ""
     committed: str = ""
     overlay: str = ""
+    #: files and characters of each version named
+    sizes: dict[str, list[int]] = field(default_factory=dict)
+    #: versions that the last publication replaced
+    retired: list[str] = field(default_factory=list)
+
+    def versions(self) -> list[str]:
+        return [n for n in (self.committed, self.overlay) if n]
 
 
 class Store:
@@ -119,15 +208,22 @@ class Store:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(conf)
+        self._sizes: dict[str, list[int]] = {}
 
     def _write_text(self, name: str, text: str) -> None:
-        tmp, final = self._path(f"{self.root}/{name}.tmp"), self._path(f"{self.root}/{name}")
+        """A whole file, put in place of the old one in one step."""
+        tmp, final = self._path(f"{self.root}/{name}.{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/{name}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(tmp, final):
-            raise OSError(f"cannot publish {name}")
+        self._replace(tmp, final)
+
+    def _replace(self, tmp, final) -> None:
+        sc = self.spark.sparkContext
+        fs = sc._jvm.org.apache.hadoop.fs
+        how = sc._gateway.new_array(fs.Options.Rename, 1)
+        how[0] = fs.Options.Rename.OVERWRITE
+        fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration()).rename(tmp, final, how)
 
     def manifest(self) -> Manifest:
         """The current manifest; one that is missing or damaged reads as empty."""
@@ -144,7 +240,16 @@ class Store:
             stream.close()
 
     def publish(self, manifest: Manifest) -> None:
+        """Make these versions the current ones; those that were replaced before the last ones go."""
+        old = self.manifest()
+        current = manifest.versions()
+        manifest.sizes = {n: size for n, size in ({**old.sizes, **self._sizes, **manifest.sizes}).items() if n in current}
+        manifest.retired = [n for n in old.versions() if n not in current]
         self._write_text("manifest.json", json.dumps(vars(manifest)))
+        for name in old.retired:
+            if name not in current and name not in manifest.retired:
+                for folder in (name, f"{name}-grams"):
+                    self._fs.delete(self._path(f"{self.root}/{folder}"), True)
 
     def invalidate(self) -> None:
         """Forget state and head, which makes the next refresh build everything."""
@@ -155,20 +260,46 @@ class Store:
         return bool(self.manifest().committed or self.manifest().overlay)
 
     def write(self, rows: DataFrame, kind: str) -> str:
-        """A new version of a relation; an empty overlay has none."""
+        """A new version of a relation with its postings; an empty overlay has none.
+
+        Files lie in the order of their numbers, postings in that of their grams, so that a scan
+        for some of them skips the rest.
+        """
         if kind == "overlay" and rows.isEmpty():
             return ""
         name = f"{kind}-{uuid.uuid4().hex}"
-        rows.select(*CORPUS.fieldNames()).write.partitionBy("repo").parquet(f"{self.root}/{name}")
+        numbered = rows.select(*CORPUS.fieldNames()).withColumn("file", file_number())
+        numbered.sortWithinPartitions("file").write.partitionBy("repo").parquet(f"{self.root}/{name}")
+        kept = self._files(name)
+        postings(kept).repartitionByRange("gram", "file").sortWithinPartitions("gram", "file").write.parquet(f"{self.root}/{name}-grams")
+        n, chars = kept.agg(F.count("*"), F.sum(F.length(F.coalesce("content", F.lit(""))))).first()
+        self._sizes[name] = [n, chars or 0]
         return name
 
+    def _files(self, name: str) -> DataFrame:
+        schema = T.StructType([*CORPUS.fields, T.StructField("file", T.LongType(), False)])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").select(*CORPUS.fieldNames(), "file")
+
     def read(self, manifest: Manifest | None = None) -> DataFrame:
         """Both relations as they were published."""
+        return self.numbered(manifest).drop("file")
+
+    def numbered(self, manifest: Manifest | None = None) -> DataFrame:
+        """Both relations with the files' numbers, which ``index`` knows them by."""
         now = manifest or self.manifest()
-        frames = [self.spark.read.schema(CORPUS).parquet(f"{self.root}/{n}") for n in (now.committed, now.overlay) if n]
+        frames = [self._files(n) for n in now.versions()]
         if not frames:
-            return self.spark.createDataFrame([], CORPUS)
-        out = frames[0].select(*CORPUS.fieldNames())
+            return self.spark.createDataFrame([], CORPUS).withColumn("file", F.lit(0).cast("long"))
+        out = frames[0]
         for f in frames[1:]:
-            out = out.unionByName(f.select(*CORPUS.fieldNames()))
+            out = out.unionByName(f)
         return out
+
+    def index(self, manifest: Manifest | None = None) -> Index | None:
+        """The index of both relations; None where a version has none."""
+        now = manifest or self.manifest()
+        names = now.versions()
+        if not names or any(n not in now.sizes or not self._fs.exists(self._path(f"{self.root}/{n}-grams")) for n in names):
+            return None
+        grams = self.spark.read.schema("gram long, file long").parquet(*(f"{self.root}/{n}-grams" for n in names))
+        return Index(grams, sum(now.sizes[n][0] for n in names), sum(now.sizes[n][1] for n in names))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CONTEXT_LINES, right_align
 from ..schema import UNKNOWN_LANGUAGE
 from .search import displayed_tag
+from .settled import settled
 
 
 def line_width(results: DataFrame) -> DataFrame:
@@ -42,7 +45,11 @@ def emitted(matches: Column) -> Column:
 
 
 def blocks(results: DataFrame) -> DataFrame:
-    """``(path, score, block)``: each file's header and lines, with a blank line at each gap."""
+    """``(path, score, block)``: each file's header and lines, with a blank line at each gap.
+
+    The results are worked out once and then read twice, for the width and for the lines.
+    """
+    results = settled(results)
     sized = results.crossJoin(F.broadcast(line_width(results)))  # one row
     lang = F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit(UNKNOWN_LANGUAGE))
     header = F.concat(F.lit("## "), "path", F.lit(" ("), lang, F.lit(")"), displayed_tag(F.col("is_overlay")))
@@ -58,11 +65,17 @@ def blocks(results: DataFrame) -> DataFrame:
     return sized.select("path", "score", F.array_join(body, "\n").alias("block"))
 
 
+def pieces(results: DataFrame) -> Iterator[str]:
+    """The output, piece by piece: the driver holds one partition's files at a time."""
+    gap = ""
+    for r in blocks(results).orderBy(F.desc("score"), "path").toLocalIterator():
+        yield gap + r.block.removesuffix("\n")
+        gap = "\n\n"
+
+
 def rendered(results: DataFrame) -> str:
-    """The whole output, on the driver: the limits of the search have bounded it."""
-    rows = blocks(results).orderBy(F.desc("score"), "path").collect()
-    text = "\n\n".join(r.block for r in rows)
-    return text.removesuffix("\n")
+    """The whole output as one text."""
+    return "".join(pieces(results))
 
 
 def islands(results: DataFrame) -> DataFrame:
@@ -115,4 +128,4 @@ def width_of(files: list[list[dict]]) -> int:
     return len(str(max((m["line_number"] + len(m.get("after") or []) for f in files for m in f), default=0)))
 
 
-__all__ = ["CONTEXT_LINES", "blocks", "emitted", "islands", "line_width", "render_file", "rendered", "split_context", "width_of"]
+__all__ = ["CONTEXT_LINES", "blocks", "emitted", "islands", "line_width", "pieces", "render_file", "rendered", "split_context", "width_of"]

@@ -1,30 +1,35 @@
 """Search: filter, score, overlay, rank, limit.
 
 Files are filtered in place by their own content; only what matched moves.  BM25 needs three
-kinds of corpus-wide sums (number of files, their length, files for each atom), which one
-aggregation gives as a single row.  The overlay looks at matched rows only, and context lines are cut
-after the limits, for the files that are shown.
+kinds of corpus-wide sums (number of files, their length, files for each atom); they are observed
+while the one scan that finds the matches goes on, and the matches are kept, so a search reads its
+collection once.  With an index that scan is of the files that it cannot rule out.  The overlay looks
+at matched rows only, and context lines are cut after the limits, for the files that are shown.
 """
 
 from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import after, before, split_lines
 from ..plans.compile import frequency, line_test, needs_content, needs_lines, needs_symbols, predicate
 from ..plans.query import Atom, Query, parse, scoring_atoms
 from ..schema import UNCOMMITTED, UNKNOWN_LANGUAGE
+from .index import Index
+from .settled import settled
 from .symbols import symbol_of
 
 # Fixed parameters of BM25 (Robertson and Zaragoza 2009).
 K1, B = 1.2, 0.75
-#: Most matched lines of one search, where ``capped`` is asked for.
-MATCH_CAP = 10_000
+#: Most matched lines of one search, and of one shard, where ``capped`` is asked for.
+MATCH_CAP, SHARD_CAP = 10_000, 10_000
 WALL_SECONDS = 60
 
 
@@ -42,12 +47,21 @@ def prepared(corpus: DataFrame, query: Query) -> DataFrame:
     return out
 
 
+def _statistics(n_atoms: int) -> list[Column]:
+    """Over rows with ``dl`` and ``tf_i``: files, their mean length, and files with atom i."""
+    dfs = [F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(n_atoms)]
+    return [F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *dfs]
+
+
+def _measured(corpus: DataFrame, query: Query) -> DataFrame:
+    """``corpus``, prepared, with its length ``dl`` and ``tf_i`` occurrences of each scoring atom."""
+    tfs = [F.coalesce(frequency(a), F.lit(0)).alias(f"tf_{i}") for i, a in enumerate(scoring_atoms(query.root))]
+    return prepared(corpus, query).select("*", F.length(F.coalesce("content", F.lit(""))).alias("dl"), *tfs)
+
+
 def term_statistics(corpus: DataFrame, query: Query) -> DataFrame:
     """One row: ``n`` files, ``avgdl``, and ``df_i`` files with atom i, over the whole collection."""
-    atoms = scoring_atoms(query.root)
-    dl = F.length(F.coalesce("content", F.lit("")))
-    dfs = [F.sum((F.coalesce(frequency(a), F.lit(0)) > 0).cast("long")).alias(f"df_{i}") for i, a in enumerate(atoms)]
-    return prepared(corpus, query).agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), *dfs)
+    return _measured(corpus, query).agg(*_statistics(len(scoring_atoms(query.root))))
 
 
 def bm25(atoms: list[Atom]) -> Column:
@@ -63,22 +77,33 @@ def bm25(atoms: list[Atom]) -> Column:
     return F.round(reduce(lambda a, b: a + b, (part(i) for i in range(len(atoms)))), 6)
 
 
-def matched(corpus: DataFrame, query: Query) -> DataFrame:
-    """``corpus`` rows that satisfy the query, with ``score``."""
+def matched(corpus: DataFrame, query: Query, index: Index | None = None) -> DataFrame:
+    """``corpus`` rows that satisfy the query, with ``score``.
+
+    A query with something to score is worked out here, in one job: its matches are kept while the
+    sums are observed.  ``index`` is the collection's own; it rules files out before that job reads
+    them, and knows the number of all files and their length.
+    """
     atoms = scoring_atoms(query.root)
-    hits = prepared(corpus, query).where(predicate(query.root))
+    own = [F.col(f"`{c}`") for c in corpus.columns]
+    files = index.narrowed(corpus, query) if index else None
+    rows = corpus if files is None else files
     if not atoms:
-        return hits.select(*corpus.columns, F.lit(0.0).alias("score"))
-    tfs = [F.coalesce(frequency(a), F.lit(0)).alias(f"tf_{i}") for i, a in enumerate(atoms)]
-    scored = hits.select(*corpus.columns, F.length(F.coalesce("content", F.lit(""))).alias("dl"), *tfs)
-    one_row = F.broadcast(term_statistics(corpus, query))
-    return scored.crossJoin(one_row).select(*corpus.columns, bm25(atoms).alias("score"))
+        return prepared(rows, query).where(predicate(query.root)).select(*own, F.lit(0.0).alias("score"))
+    seen = Observation()
+    found = _measured(rows, query).observe(seen, *_statistics(len(atoms))).where(predicate(query.root))
+    found = settled(found.select(*own, "dl", *(f"tf_{i}" for i in range(len(atoms)))))
+    sums = dict(seen.get)
+    if files is not None:  # files ruled out hold none of the atoms, but count as files
+        sums |= {"n": index.files, "avgdl": index.chars / max(index.files, 1)}
+    known = found.withColumns({k: F.lit(v) for k, v in sums.items()})
+    return known.select(*own, bm25(atoms).alias("score"))
 
 
 def overlay(rows: DataFrame, dirty: DataFrame | None = None) -> DataFrame:
     """One row for each path: uncommitted before committed, and no committed row of a dirty path.
 
-    Among rows of one class the best score wins, then the smallest content.
+    Among rows of one class the best score wins, then a hash of the content decides.
     """
     ties = [F.desc("score")] if "score" in rows.columns else []
     ties += [F.xxhash64("content")] if "content" in rows.columns else []
@@ -105,8 +130,10 @@ def line_matches(rows: DataFrame, query: Query, max_matches: int = 0) -> DataFra
     atoms = scoring_atoms(query.root)
     lang = F.coalesce("lang", F.lit(UNKNOWN_LANGUAGE))
     lines = rows.withColumn("__lines", split_lines(F.coalesce("content", F.lit(""))))
+    tagged = any(a.kind == "sym" for a in atoms)  # else only the lines that are shown are looked at
+    untold = F.lit(None).cast("struct<name:string,kind:string>")
     numbered = F.transform(
-        "__lines", lambda line, i: F.struct((i + 1).alias("n"), line.alias("line"), symbol_of(line, lang).alias("symbol"))
+        "__lines", lambda line, i: F.struct((i + 1).alias("n"), line.alias("line"), (symbol_of(line, lang) if tagged else untold).alias("symbol"))
     )
 
     def shown(x: Column) -> Column:
@@ -122,7 +149,7 @@ def line_matches(rows: DataFrame, query: Query, max_matches: int = 0) -> DataFra
         all_lines = F.col("__lines")
         return F.struct(
             x["n"].cast("int").alias("line_number"), x["line"].alias("line"), before(all_lines, x["n"]).alias("before"),
-            after(all_lines, x["n"]).alias("after"), x["symbol"]["kind"].alias("symbol_kind"),
+            after(all_lines, x["n"]).alias("after"), (x["symbol"] if tagged else symbol_of(x["line"], lang))["kind"].alias("symbol_kind"),
         )
 
     none = F.array().cast("array<string>")
@@ -135,25 +162,34 @@ def line_matches(rows: DataFrame, query: Query, max_matches: int = 0) -> DataFra
 
 
 def search(
-    corpus: DataFrame, text: str, dirty: DataFrame | None = None, limit: int = 0, max_matches: int = 0, capped: bool = False
-) -> DataFrame:
+    corpus: DataFrame, text: str, dirty: DataFrame | None = None, limit: int = 0, max_matches: int = 0, capped: bool = False,
+    index: Index | None = None, shards: DataFrame | None = None,
+) -> DataFrame:
     """``FILE_MATCH`` rows of a query over committed and overlay rows, best first.
 
-    The limits come after overlay and order, so no row they would have shown is lost.
+    The limits come after overlay and order, so no row they would have shown is lost.  ``capped``
+    ends a search after the file that reaches MATCH_CAP matched lines; with ``shards(path, repo,
+    shard)`` each shard gives files, in path order, up to the one that reaches SHARD_CAP first.
     """
     query = parse(text)
-    rows = ranked(overlay(matched(corpus, query), dirty), limit)
+    rows = ranked(overlay(matched(corpus, query, index), dirty), limit)
     out = line_matches(rows, query, max_matches)
+    if capped and shards is not None:
+        before = Window.partitionBy("__shard").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+        placed = out.join(shards.select("path", "repo", F.col("shard").alias("__shard")), ["path", "repo"], "left").select(*out.columns, "__shard")
+        out = placed.withColumn("__seen", F.coalesce(F.sum(F.size("line_matches")).over(before), F.lit(0)))
+        out = out.where(F.col("__seen") < SHARD_CAP).drop("__seen", "__shard")
     if capped:
         upto = Window.orderBy(F.desc("score"), "path").rowsBetween(Window.unboundedPreceding, -1)
-        out = out.limit(MATCH_CAP).withColumn("__seen", F.coalesce(F.sum(F.size("line_matches")).over(upto), F.lit(0)))
+        out = out.orderBy(F.desc("score"), "path").limit(MATCH_CAP).withColumn("__seen", F.coalesce(F.sum(F.size("line_matches")).over(upto), F.lit(0)))
         out = out.where(F.col("__seen") < MATCH_CAP).drop("__seen")
     return out.orderBy(F.desc("score"), "path")
 
 
-def collect_within(rows: DataFrame, seconds: float = WALL_SECONDS) -> list[Row]:
-    """The rows, or ``TimeoutError``: Spark's jobs for them are cancelled when the time is up."""
-    sc, tag, late = rows.sparkSession.sparkContext, f"search-{uuid.uuid4().hex}", threading.Event()
+@contextmanager
+def limited(spark: SparkSession, seconds: float = WALL_SECONDS) -> Iterator[None]:
+    """What runs inside has so many seconds: then its Spark jobs are cancelled and ``TimeoutError`` raised."""
+    sc, tag, late = spark.sparkContext, f"search-{uuid.uuid4().hex}", threading.Event()
 
     def stop() -> None:
         late.set()
@@ -163,7 +199,7 @@ def collect_within(rows: DataFrame, seconds: float = WALL_SECONDS) -> list[Row]:
     sc.addJobTag(tag)
     timer.start()
     try:
-        return rows.collect()
+        yield
     except Exception:
         if late.is_set():
             raise TimeoutError(f"the search took more than {seconds:g} s") from None
@@ -173,6 +209,12 @@ def collect_within(rows: DataFrame, seconds: float = WALL_SECONDS) -> list[Row]:
         sc.removeJobTag(tag)
 
 
+def within[T](spark: SparkSession, work: Callable[[], T], seconds: float = WALL_SECONDS) -> T:
+    """What ``work`` gives, or ``TimeoutError``."""
+    with limited(spark, seconds):
+        return work()
+
+
 def has_match(rows: DataFrame) -> bool:
     """Whether anything is left to show; stops at the first row."""
     return not rows.isEmpty()

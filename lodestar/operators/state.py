@@ -6,6 +6,7 @@ import contextlib
 import fcntl
 import hashlib
 import os
+import random
 import time
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -85,7 +86,7 @@ def writer_lock(path: str, have_index: bool, seconds: float = LOCK_SECONDS) -> I
                     return
                 if time.monotonic() > end:
                     raise TimeoutError("another process is still indexing") from None
-                time.sleep(pause)
+                time.sleep(pause * random.uniform(0.5, 1))
                 pause = min(2, pause * 2)
         try:
             yield True
@@ -100,12 +101,17 @@ def _corpus(raw: DataFrame, repo: str, overlay: bool) -> DataFrame:
     ).select("path", "repo", "is_overlay", "lang", F.coalesce("__u8", "__l1").alias("content"))
 
 
+def _parts(spark: SparkSession) -> str:
+    """Tasks that read files: as many as the cluster runs at once."""
+    return str(max(8, spark.sparkContext.defaultParallelism))
+
+
 def committed_files(spark: SparkSession, repo: str) -> DataFrame:
-    return _corpus(spark.read.format("git_committed").load(repo), COMMITTED, False)
+    return _corpus(spark.read.format("git_committed").option("partitions", _parts(spark)).load(repo), COMMITTED, False)
 
 
 def worktree_files(spark: SparkSession, repo: str, names: list[str]) -> DataFrame:
-    reader = spark.read.format("git_worktree").option("names", "\0".join(names))
+    reader = spark.read.format("git_worktree").option("partitions", _parts(spark)).option("names", "\0".join(names))
     return _corpus(reader.load(repo).dropDuplicates(["path"]), UNCOMMITTED, True)
 
 
@@ -113,8 +119,8 @@ def refresh(spark: SparkSession, repo: str, store: Store, lock_path: str, state:
     """Bring the store up to the working tree; returns what was done (``none``, ``stale``, ...).
 
     The two relations are written side by side.  Files known to be changed are looked at again
-    afterwards: if one moved meanwhile, or indexing failed, the new versions serve but the state
-    is not recorded, so the next call starts again.
+    afterwards: if one moved meanwhile, or one of the two failed, the new versions serve but the
+    state is not recorded, so the next call starts again.
     """
     state = state or git.repo_state(repo)
     now = state_hash(fingerprint(repo, state))
@@ -128,18 +134,22 @@ def refresh(spark: SparkSession, repo: str, store: Store, lock_path: str, state:
             return "none"
         whole, part = plan_of(bool(state.files), old.head != state.head_sha or not old.committed)
         new = Manifest(committed=old.committed, overlay="")
-        try:
-            with ThreadPoolExecutor(2) as pool:
-                jobs = {}
-                if whole:
-                    jobs["committed"] = pool.submit(lambda: store.write(committed_files(spark, repo), "committed"))
-                if part:
-                    jobs["overlay"] = pool.submit(lambda: store.write(worktree_files(spark, repo, state.files), "overlay"))
-                for kind, job in jobs.items():
+        failed = None
+        with ThreadPoolExecutor(2) as pool:
+            jobs = {}
+            if whole:
+                jobs["committed"] = pool.submit(lambda: store.write(committed_files(spark, repo), "committed"))
+            if part:
+                jobs["overlay"] = pool.submit(lambda: store.write(worktree_files(spark, repo, state.files), "overlay"))
+            for kind, job in jobs.items():
+                try:
                     setattr(new, kind, job.result())
-        except Exception:
-            store.invalidate()
-            raise
+                except Exception as e:  # what the other wrote is kept
+                    failed = e
+                    setattr(new, kind, getattr(old, kind))
+        if failed:
+            store.publish(new)
+            raise failed
         stable = state_hash(fingerprint(repo, state)) == now
         if stable:
             new.state, new.head = now, state.head_sha

@@ -66,7 +66,9 @@ def predicate(node: Node) -> Column:
         return _path(node) | F.coalesce(_content(node), F.lit(False))
     if node.kind == "sym":
         return F.exists("symbols", lambda s: line_test(s, s, node))
-    return {"content": _content, "file": _path, "lang": _lang}[node.kind](node)
+    if node.kind == "content":  # a file without content holds nothing, and so satisfies the negation
+        return F.coalesce(_content(node), F.lit(False))
+    return {"file": _path, "lang": _lang}[node.kind](node)
 
 
 def frequency(atom: Atom) -> Column:

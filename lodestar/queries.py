@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import count_lines, split_lines
 from .operators import index, render, search, state, symbols
+from .operators.settled import settled
 from .plans.query import parse
 from .sources import corpus as tables
 from .sources.porcelain import parse_statuses
@@ -168,6 +170,23 @@ def shard_assign(spark, sf_dir):
     return index.shards(tables.corpus(spark, sf_dir), 100_000)
 
 
+_STORES: dict[tuple[str, str], index.Store] = {}
+
+
+def _indexed(spark: SparkSession, sf_dir: str, text: str | None = None):
+    """The collection of ``sf_dir`` in a store, indexed when it is first asked for in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        settled(spark.range(0))  # there is a checkpoint folder now
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        store = index.Store(spark, f"{folder}/store-{uuid.uuid4().hex}")
+        store.publish(index.Manifest(committed=store.write(tables.corpus(spark, sf_dir), "committed")))
+        _STORES[key] = store
+    store = _STORES[key]
+    files, grams = store.numbered(), store.index()
+    return (files, parse(text), grams) if text else (files, grams)
+
+
 @query(f"""WITH {_BASE.strip()}, texts AS (
   SELECT path, repo, unnest(string_split(lower(content), chr(10))) AS t FROM corpus
   UNION ALL SELECT path, repo, lower(path) FROM corpus
@@ -175,16 +194,14 @@ def shard_assign(spark, sf_dir):
   SELECT DISTINCT path, repo, substr(t, i, 3) AS gram FROM (SELECT path, repo, t, unnest(range(1, length(t) - 1)) AS i FROM texts)
 ) SELECT gram, count(*) AS n_files, min(path) AS first_path FROM grams GROUP BY gram""")
 def trigram_postings(spark, sf_dir):
-    found = index.postings(tables.corpus(spark, sf_dir))
-    return found.groupBy("gram").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"))
+    files, grams = _indexed(spark, sf_dir)
+    named = grams.postings.join(files.select("file", "path"), "file")
+    return named.groupBy("gram").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path")).withColumn("gram", index.gram_text(F.col("gram")))
 
 
 @query(_sql_files("tf_0 > 0 AND tf_1 > 0", [_tf("there"), _tf("ation")]))
 def trigram_search(spark, sf_dir):
-    files = tables.corpus(spark, sf_dir)
-    wanted = parse("there ation")
-    ruled_in = index.pruned(files, index.postings(files), "there ation").select("path", "repo")
-    return search.matched(files, wanted).join(ruled_in, ["path", "repo"], "left_semi").select("path", "repo", "lang", "score")
+    return search.matched(*_indexed(spark, sf_dir, "there ation")).select("path", "repo", "lang", "score")
 
 
 # ---------------------------------------------------------------- the query language

@@ -28,6 +28,22 @@ def resolve_repo(path: str) -> str:
     return os.fsdecode(git(path, "rev-parse", "--show-toplevel")).rstrip("\n")
 
 
+def exclude_file(repo: str) -> str:
+    """The file of patterns that this working tree ignores; linked trees share their repository's."""
+    return os.path.join(repo, os.fsdecode(git(repo, "rev-parse", "--git-path", "info/exclude")).rstrip("\n"))
+
+
+def exclude(repo: str, pattern: str) -> None:
+    """Add a pattern to it, once."""
+    path = exclude_file(repo)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "a+") as f:
+        f.seek(0)
+        known = f.read()
+        if pattern not in known.split("\n"):
+            f.write(("" if known.endswith("\n") or not known else "\n") + pattern + "\n")
+
+
 def repo_state(repo: str) -> RepoState:
     """Head and changed files from one atomic status call; an empty state if that fails."""
     try:

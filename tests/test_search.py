@@ -4,9 +4,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import index, search
+from lodestar.operators import index, render, search
 from lodestar.operators.symbols import language_of
-from lodestar.plans.query import parse
+from lodestar.plans.query import QuerySyntaxError, parse
 from lodestar.schema import CORPUS, DIRTY
 
 FILES = [
@@ -69,6 +69,42 @@ def test_overlay_does_not_depend_on_order(spark, corpus):
     assert search.overlay(same).count() == 1
 
 
+def test_negation_keeps_files_without_content(corpus):
+    assert ("nul.bin", False) in paths(search.matched(corpus, parse("-content:main")))
+
+
+def test_repetitions_inside_repetitions_are_refused():
+    for text in ("content:(a+)+b", "regex:(x*y|z+)*", "content:((ab)*c)+"):
+        with pytest.raises(QuerySyntaxError):
+            parse(text)
+    for text in ("content:(ab)+c*", "regex:a+b+", "content:(a|b)*"):
+        parse(text)
+
+
+def test_a_search_reads_its_collection_once(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.createDataFrame(FILES, CORPUS).write.parquet(path)
+    files = spark.read.schema(CORPUS).parquet(path)
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("parquet")
+    assert scans(search.matched(files, parse("func main"))) == 0  # worked out in the one job
+    assert scans(render.blocks(search.search(files, "func main"))) == 0
+
+
+def test_few_files_are_named_to_the_scan(spark, tmp_path):
+    store = index.Store(spark, f"file://{tmp_path}/s")
+    store.publish(index.Manifest(committed=store.write(spark.createDataFrame(FILES, CORPUS), "committed")))
+    plan = store.index().narrowed(store.numbered(), parse("Helper"))._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^]]*In\(file|PushedFilters: \[[^]]*EqualTo\(file|PushedFilters: \[[^]]*file", plan)
+    assert store.index().files == len(FILES)
+
+
+def test_a_capped_search_of_shards(spark, corpus, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_CAP", 1)
+    where = corpus.select("path", "repo", F.when(F.col("path").startswith("src"), 1).otherwise(2).alias("shard"))
+    whole, cut = paths(search.search(corpus, "main")), paths(search.search(corpus, "main", capped=True, shards=where))
+    assert [p for p, _ in cut if p.startswith("src")] == ["src/main.go"] and set(cut) < set(whole)
+
+
 def test_scores(corpus):
     rows = {(r.path, r.repo): r for r in search.matched(corpus, parse("main")).collect()}
     n, avgdl = len(FILES), sum(len(f[4] or "") for f in FILES) / len(FILES)
@@ -109,17 +145,21 @@ def test_pruning_loses_nothing(corpus, text):
     direct = paths(search.matched(corpus, parse(text)))
     kept = index.pruned(corpus, postings, text)
     assert set(direct) <= {(r.path, r.is_overlay) for r in kept.collect()}
+    whole = index.Index(postings, len(FILES), sum(len(f[4] or "") for f in FILES))
+    scores = lambda rows: {(r.path, r.is_overlay): r.score for r in rows.collect()}
+    assert scores(search.matched(corpus, parse(text), whole)) == pytest.approx(scores(search.matched(corpus, parse(text))))
 
 
 def test_a_search_has_its_time(spark, corpus):
-    assert len(search.collect_within(search.search(corpus, "main"), 60)) == 5
+    assert len(search.within(spark, search.search(corpus, "main").collect, 60)) == 5
     slow = spark.range(1, 400_000_000_000, numPartitions=4).selectExpr("sum(sqrt(id))")
     with pytest.raises(TimeoutError):
-        search.collect_within(slow, 1)
+        search.within(spark, slow.collect, 1)
 
 
 def test_postings(corpus):
-    got = {(r.gram, r.path, r.repo) for r in index.postings(corpus).collect()}
+    rows = index.postings(corpus).join(corpus.withColumn("file", index.file_number()), "file")
+    got = {(r.gram, r.path, r.repo) for r in rows.select(index.gram_text(F.col("gram")).alias("gram"), "path", "repo").collect()}
     want = {
         (s[i : i + 3], f[0], f[1])
         for f in FILES for s in [*(f[4] or "").lower().split("\n"), f[0].lower()] for i in range(len(s) - 2)

@@ -202,3 +202,57 @@ def test_stream_of_changes(spark, tmp_path):
     dirty = spark.createDataFrame([("a",), ("c",)], DIRTY)
     rows = {r.path: [m.line for m in r.line_matches] for r in search(store.read(), "text", dirty).collect()}
     assert rows == {"a": ["second text"], "b": ["text"], "c": ["third text"]}
+
+
+def test_a_linked_worktree_stays_warm(spark, repo, tmp_path_factory):
+    """The second search of a linked tree finds nothing to do: its cache folder is no change."""
+    other = tmp_path_factory.mktemp("linked") / "tree"
+    sh(repo, "worktree", "add", "-q", str(other))
+    git.register(spark)
+    assert "keep.py" in cli.run(spark, str(other), "steady")
+    state = git.repo_state(str(other))
+    assert state.files == []
+    store = Store(spark, f"file://{other}/{cli.CACHE}")
+    assert st.refresh(spark, str(other), store, str(other / cli.CACHE / "lock"), state) == "none"
+
+
+def test_a_publication_that_is_cut_off(spark, tmp_path, monkeypatch):
+    """Up to the last step readers see the old manifest, never none."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    row = lambda text: spark.createDataFrame([("p", "committed", False, "Go", text)], CORPUS)
+    store.publish(Manifest(committed=store.write(row("old"), "committed")))
+    new = store.write(row("new"), "committed")
+
+    def cut(tmp, final):
+        assert Store(spark, f"file://{tmp_path}/s").read().first().content == "old"
+        raise OSError("cut off")
+
+    monkeypatch.setattr(store, "_replace", cut)
+    with pytest.raises(OSError):
+        store.publish(Manifest(committed=new))
+    monkeypatch.undo()
+    assert store.read().first().content == "old"
+    store.publish(Manifest(committed=new))
+    assert store.read().first().content == "new"
+
+
+def test_versions_go_after_the_next_publication(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    names = []
+    for i in range(4):
+        names.append(store.write(spark.createDataFrame([("p", "committed", False, "Go", f"text{i}")], CORPUS), "committed"))
+        store.publish(Manifest(committed=names[-1]))
+    left = {p.name for p in (tmp_path / "s").iterdir() if p.is_dir()}
+    assert left == {n + end for n in names[2:] for end in ("", "-grams")}
+    assert store.manifest().sizes == {names[3]: [1, 5]} and store.index().files == 1
+
+
+def test_one_failed_half_leaves_the_other(spark, repo, tmp_path_factory, monkeypatch):
+    git.register(spark)
+    root = tmp_path_factory.mktemp("half")
+    store = Store(spark, f"file://{root}/s")
+    (repo / "main.go").write_text("edit")
+    monkeypatch.setattr(st, "worktree_files", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        st.refresh(spark, str(repo), store, str(root / "lock"))
+    assert store.manifest().state == "" and {r.path for r in store.read().collect()} == {"main.go", "keep.py", ".gitignore"}
