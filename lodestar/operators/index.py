@@ -262,16 +262,17 @@ class Store:
     def write(self, rows: DataFrame, kind: str) -> str:
         """A new version of a relation with its postings; an empty overlay has none.
 
-        Files lie in the order of their numbers, postings in that of their grams, so that a scan
-        for some of them skips the rest.
+        Files lie in the order of their numbers, and each part's postings in that of their grams, so
+        that a scan for some of them skips the rest; postings stay with the part they came from.
         """
         if kind == "overlay" and rows.isEmpty():
             return ""
         name = f"{kind}-{uuid.uuid4().hex}"
         numbered = rows.select(*CORPUS.fieldNames()).withColumn("file", file_number())
-        numbered.sortWithinPartitions("file").write.partitionBy("repo").parquet(f"{self.root}/{name}")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        numbered.repartitionByRange(parts, "file").sortWithinPartitions("file").write.partitionBy("repo").parquet(f"{self.root}/{name}")
         kept = self._files(name)
-        postings(kept).repartitionByRange("gram", "file").sortWithinPartitions("gram", "file").write.parquet(f"{self.root}/{name}-grams")
+        postings(kept).sortWithinPartitions("gram", "file").write.parquet(f"{self.root}/{name}-grams")
         n, chars = kept.agg(F.count("*"), F.sum(F.length(F.coalesce("content", F.lit(""))))).first()
         self._sizes[name] = [n, chars or 0]
         return name
