@@ -82,21 +82,24 @@ def first_difference(a: Column, b: Column) -> Column:
 
 
 def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """``ord`` (the id, null first) and ``bucket``: ranges of ids of nearly equal size.
+    """``ord`` (the id, null first), ``tie`` (a hash of the text) and ``bucket``: ranges of both of
+    nearly equal size, so many texts of one id, or without an id, are spread too.
 
-    Spark's own range partitioning of the ids alone gives the bounds, one for each bucket; any
-    bounds would give the same result.
+    Spark's own range partitioning gives the bounds, one for each bucket; any bounds would give the
+    same result.
     """
-    docs = docs.withColumn("ord", F.coalesce(F.col("doc_id"), F.lit(LEAST)))
-    parts = docs.select("ord").repartitionByRange(buckets, "ord").groupBy(F.spark_partition_id()).agg(F.min("ord").alias("low"))
-    bounds = sorted(r.low for r in parts.collect())[1:]
+    docs = docs.withColumn("ord", F.coalesce(F.col("doc_id"), F.lit(LEAST))).withColumn("tie", F.xxhash64("text"))
+    key = F.struct("ord", "tie")
+    parts = docs.select("ord", "tie").repartitionByRange(buckets, "ord", "tie").groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"))
+    most = (1 << 63) - 1
+    bounds = sorted((r.low.ord, r.low.tie) for r in parts.collect())[1:]
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))] or [1]
-    edges = F.array(*map(F.lit, bounds + [(1 << 63) - 1] * (2 * steps[0] - len(bounds))))
-    # binary search: the number of bounds not above the id
+    edges = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(t).alias("tie")) for o, t in bounds + [(most, most)] * (2 * steps[0] - len(bounds))))
+    # binary search: the number of bounds not above the row
     place = F.reduce(
         F.array(*map(F.lit, steps)),
         F.lit(0),
-        lambda at, s: F.when(F.element_at(edges, at + s) <= F.col("ord"), at + s).otherwise(at),
+        lambda at, s: F.when(F.element_at(edges, at + s) <= key, at + s).otherwise(at),
     )
     return docs.withColumn("bucket", place)
 
@@ -105,24 +108,22 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """``(doc_id, text, root, paragraphs, nodes)`` and ``next_...`` of the next row by descending doc_id.
 
     After the last row comes the first.  Rows of one id follow each other by a hash of their
-    text; null ids come last.  The rows are dealt by ranges of ids, and each range gets a copy of
-    the row that follows its smallest one, so one exchange is all that moves the texts and no
-    task holds more than its range.
+    text; null ids come last.  The rows are dealt by ranges of id and hash, and each range gets a
+    copy of the row that follows its smallest one, so one exchange is all that moves the texts and
+    no task holds more than its range.
     """
     carried = ["text", "root", "paragraphs", "nodes"]
-    rows = _bucketed(docs, max(2, buckets)).withColumn("tie", F.xxhash64("text"))
-    highest = rows.groupBy("bucket").agg(F.max("ord").alias("top"))  # one row for each range
+    rows = _bucketed(docs, max(2, buckets))
+    highest = rows.groupBy("bucket").agg(F.max(F.struct("ord", "tie")).alias("top"))  # one row for each range
     whole = Window.orderBy("bucket")
     chain = highest.select(
-        "top",
+        F.col("top.ord").alias("top"), F.col("top.tie").alias("top_tie"),
         F.coalesce(F.lead("bucket").over(whole), F.first("bucket").over(whole)).alias("to"),
     )
-    last = Window.partitionBy("bucket").orderBy(F.desc("tie"))
     ghosts = (
         rows.drop("bucket")
-        .join(F.broadcast(chain.withColumnRenamed("to", "bucket")), F.col("ord") == F.col("top"))
-        .withColumn("nth", F.row_number().over(last))
-        .where("nth = 1")
+        .join(F.broadcast(chain.withColumnRenamed("to", "bucket")), (F.col("ord") == F.col("top")) & (F.col("tie") == F.col("top_tie")))
+        .dropDuplicates(["bucket"])  # rows of one key are alike
         .select("doc_id", "text", "bucket", "ord", "tie", F.lit(True).alias("ghost"))
     )
     together = rows.select("doc_id", "text", "bucket", "ord", "tie", F.lit(False).alias("ghost")).union(ghosts)
@@ -143,7 +144,7 @@ def fingerprint_edits(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     ``(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     first_edit)``; ``first_edit`` is the first paragraph that the edit changed (0: none).  Null
     text counts as empty; a lone document is its own next; an empty table gives no rows; other
-    columns are ignored; repeated rows each keep a row.
+    columns are ignored; repeated rows each keep a row; very long texts are hashed whole.
     """
     buckets = buckets or min(MOST_BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

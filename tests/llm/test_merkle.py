@@ -69,3 +69,13 @@ def test_one_and_none(odd):
     one = merkle.fingerprint_edits(odd.where("doc_id = 7")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert merkle.fingerprint_edits(odd.where(F.lit(False))).count() == 0
+
+
+def test_many_rows_of_one_id_are_spread(spark):
+    """Rows without an id, or of one id, come in as many ranges as their texts allow; the result stays."""
+    rows = [(None, f"text {i}") for i in range(40)] + [(7, f"other {i}") for i in range(40)] + [(7, "same")] * 10 + [(i, f"t{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = merkle._bucketed(docs, 12).groupBy("bucket").count().collect()
+    assert len(placed) >= 8 and max(r["count"] for r in placed) <= 30
+    few, many = (sorted(map(repr, merkle.fingerprint_edits(docs, n).collect())) for n in (2, 16))
+    assert few == many
