@@ -101,10 +101,16 @@ class Models:
     def head(self) -> int:
         return min(self.size, HEAD + 2)
 
+    def __post_init__(self) -> None:
+        self._table: dict[int, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_table": None}
+
     def number(self, word: bytes) -> int:
-        h = word_hash(word)
-        at = int(np.searchsorted(self.hashes, h))
-        return int(self.numbers[at]) if at < len(self.hashes) and self.hashes[at] == h else UNKNOWN
+        if self._table is None:  # some 100 bytes for each word of the vocabulary
+            self._table = dict(zip(self.hashes.tolist(), self.numbers.tolist(), strict=True))
+        return self._table.get(word_hash(word), UNKNOWN)
 
     def losses(self, h: np.ndarray, w: np.ndarray, pairs: np.ndarray) -> np.ndarray:
         """Both models' losses in UNITs of bigrams (h, w) that were counted ``pairs`` (2 x n) times."""
@@ -186,15 +192,23 @@ def _head_losses(rows: DataFrame, models: Models, shared) -> np.ndarray:
     n = models.head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sums = Known(shared.value.number), np.zeros((2, n * n), np.int64)
+        ids, sums, wait, held = Known(shared.value.number), np.zeros((2, n * n), np.int64), [], 0
+
+        def add() -> None:  # cells of rows that do not count for the target, and behind them those that do
+            times = np.bincount(np.concatenate(wait), minlength=2 * n * n).reshape(2, -1)
+            sums[0], sums[1] = sums[0] + times[1], sums[1] + times.sum(0)
+
         for batch in batches:
             for body, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for h, w in _bigrams(body.as_py(), ids):
                     near = (h < n) & (w < n)
-                    cell, times = np.unique(h[near] * n + w[near], return_counts=True)
-                    sums[1][cell] += times
-                    if good:
-                        sums[0][cell] += times
+                    wait.append(h[near] * n + w[near] + good * n * n)
+                    held += len(wait[-1])
+                    if held >= FLUSH:
+                        add()
+                        wait, held = [], 0
+        if wait:
+            add()
         at = np.flatnonzero(sums[1])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, sums[0][at], sums[1][at])], ["cell", "good", "every"])
 
