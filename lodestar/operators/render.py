@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CONTEXT_LINES, right_align
+from ..functions.text import right_align
 from ..schema import UNKNOWN_LANGUAGE
 from .search import displayed_tag
 from .settled import settled
@@ -86,46 +86,3 @@ def islands(results: DataFrame) -> DataFrame:
     return runs.groupBy("path", "__run").agg(
         F.min("x.n").alias("first_line"), F.max("x.n").alias("last_line"), F.sum(F.col("x.hit").cast("long")).alias("n_matches")
     ).drop("__run")
-
-
-def split_context(text: str | None) -> list[str]:
-    if not text:
-        return []
-    return text.removesuffix("\n").split("\n")
-
-
-def render_file(path: str, lang: str, is_overlay: bool, matches: list[dict], width: int) -> str:
-    """The same for one file whose context need not agree between matches, line by line.
-
-    ``matches``: ``line_number``, ``line``, ``before``, ``after`` (lists) and ``kind``.
-    """
-    tag = " [uncommitted]" if is_overlay else ""
-    out = [f"## {path} ({lang or UNKNOWN_LANGUAGE}){tag}"]
-    done = 0
-    for k, m in enumerate(matches):
-        number, lead, trail = m["line_number"], list(m.get("before") or []), list(m.get("after") or [])
-        numbers = range(number - len(lead), number)
-        lead = [(n, x) for n, x in zip(numbers, lead, strict=True) if n >= 1]
-        start = max(1, number - len(m.get("before") or []))
-        if k and start > done + 1:
-            out.append("")
-        out += [f"  {n:>{width}} {x}" for n, x in lead if n > done]
-        kind = f"[{m['kind']}] " if m.get("kind") else ""
-        out.append(f"  {number:>{width}} {kind}{(m.get('line') or '').rstrip(chr(10))}")
-        done = number
-        stop = None
-        if k + 1 < len(matches):
-            stop = matches[k + 1]["line_number"] - len(matches[k + 1].get("before") or [])
-        for n, x in enumerate(trail, number + 1):
-            if stop is not None and n >= stop:
-                break
-            out.append(f"  {n:>{width}} {x}")
-            done = n
-    return "\n".join(out)
-
-
-def width_of(files: list[list[dict]]) -> int:
-    return len(str(max((m["line_number"] + len(m.get("after") or []) for f in files for m in f), default=0)))
-
-
-__all__ = ["CONTEXT_LINES", "blocks", "emitted", "islands", "line_width", "pieces", "render_file", "rendered", "split_context", "width_of"]

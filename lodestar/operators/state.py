@@ -95,10 +95,9 @@ def writer_lock(path: str, have_index: bool, seconds: float = LOCK_SECONDS) -> I
 
 
 def _corpus(raw: DataFrame, repo: str, overlay: bool) -> DataFrame:
-    return raw.select(
-        "path", F.lit(repo).alias("repo"), F.lit(overlay).alias("is_overlay"), language_of(F.col("path")).alias("lang"),
-        F.decode(F.col("content"), "ISO-8859-1").alias("__l1"), F.try_validate_utf8(F.col("content").cast("string")).alias("__u8"),
-    ).select("path", "repo", "is_overlay", "lang", F.coalesce("__u8", "__l1").alias("content"))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode(F.col("content"), "ISO-8859-1"))
+    files = raw.select("path", F.lit(repo).alias("repo"), F.lit(overlay).alias("is_overlay"), text.alias("content"))
+    return files.select("path", "repo", "is_overlay", language_of(F.col("path"), F.col("content")).alias("lang"), "content")
 
 
 def _parts(spark: SparkSession) -> str:

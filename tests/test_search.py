@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import index, render, search
-from lodestar.operators.symbols import language_of
+from lodestar.operators.symbols import language_of, symbol_of
 from lodestar.plans.query import QuerySyntaxError, parse
 from lodestar.schema import CORPUS, DIRTY
 
@@ -176,8 +176,30 @@ def test_shards(corpus):
 
 
 def test_languages(spark):
-    rows = spark.createDataFrame([("a/b.go",), ("X.PY",), ("Makefile",)], "path string")
-    assert [r[0] for r in rows.select(language_of(F.col("path"))).collect()] == ["Go", "Python", None]
+    rows = spark.createDataFrame(
+        [("a/b.go", ""), ("X.PY", None), ("sub/Makefile", ""), ("run", "#!/usr/bin/env python3\n"), ("run", "#!/bin/sh -e"), ("run", "# no"), ("x.tsx", "")],
+        "path string, content string",
+    )
+    found = rows.select(language_of(F.col("path"), F.col("content")), language_of(F.col("path"))).collect()
+    assert [r[0] for r in found] == ["Go", "Python", "Makefile", "Python", "Shell", None, "TypeScript"]
+    assert [r[1] for r in found] == ["Go", "Python", "Makefile", None, None, None, "TypeScript"]
+
+
+@pytest.mark.parametrize(
+    "lang,line,kind,name",
+    [
+        ("C", "static int add_up(int a, int b)", "function", "add_up"), ("C", "    return add_up(a);", None, None), ("C", "#define LIMIT 3", "macro", "LIMIT"),
+        ("C++", "void Tree::grow(int n) {", "function", "Tree::grow"), ("C++", "class Tree : public Plant {", "class", "Tree"),
+        ("C#", "public sealed class Basket", "class", "Basket"), ("C#", "    private int Weigh(Fruit f)", "method", "Weigh"),
+        ("TypeScript", "export interface Shape {", "interface", "Shape"), ("Ruby", "  def ripe?", "method", "ripe?"), ("PHP", "public function pick()", "function", "pick"),
+        ("Kotlin", "data class Seed(val n: Int)", "class", "Seed"), ("Swift", "func water() {", "function", "water"), ("Scala", "case class Leaf(n: Int)", "class", "Leaf"),
+        ("Shell", "tidy_up() {", "function", "tidy_up"), ("SQL", "CREATE TABLE plots (", "table", "plots"), ("Markdown", "## Sowing times", "section", "Sowing times"),
+        ("Rust", "pub trait Grows {", "trait", "Grows"),
+    ],
+)
+def test_symbols_of_languages(spark, lang, line, kind, name):
+    row = spark.range(1).select(symbol_of(F.lit(line), F.lit(lang)).alias("s")).first()
+    assert (row.s and (row.s.kind, row.s.name)) == (kind and (kind, name))
 
 
 def test_top_n_is_planned_as_one(corpus):
