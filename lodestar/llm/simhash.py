@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import persist, release, text_bytes
+from .common import fresh, persist, release, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -445,22 +445,20 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFr
     """
     out = persist(_similar(docs.select("doc_id", "text"), width, similarity))
     other = ~(F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("text_hash") == F.col("head.text_hash")))
-    names = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
-    kept = _less(docs, persist(out.where(other).select(*names).distinct()))
+    own, key = fresh(docs, "__id"), fresh(docs, "__hash")
+    names = [F.col("doc_id").alias(own), F.col("text_hash").alias(key)]
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (text_hash() == F.col(key))
+
+    def less(rows: DataFrame, drop: DataFrame) -> DataFrame:
+        """``rows`` without those of ``drop``, which is broadcast up to a checked size."""
+        if drop.count() <= BROADCAST_IDS:  # then the texts stay where they are
+            drop = F.broadcast(drop)
+        return rows.join(drop, same, "left_anti")
+
+    kept = less(docs, persist(out.where(other).select(*names).distinct()))
     twice = persist(out.where(~other).groupBy(*names).count().where("count > 1").drop("count"))
     if twice.isEmpty():
         return kept
-    one = docs.join(twice, _same(docs), "left_semi").withColumn("__hash", text_hash())
-    one = one.dropDuplicates(["doc_id", "__hash"]).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return _less(kept, twice).unionByName(one)
-
-
-def _same(docs: DataFrame) -> Column:
-    return docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
-
-
-def _less(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """``docs`` without the rows of ``drop(__id, __hash)``, which is broadcast up to a checked size."""
-    if drop.count() <= BROADCAST_IDS:  # then the texts stay where they are
-        drop = F.broadcast(drop)
-    return docs.join(drop, _same(docs), "left_anti")
+    one = docs.join(twice, same, "left_semi").withColumn(key, text_hash())
+    one = one.dropDuplicates(["doc_id", key]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return less(kept, twice).unionByName(one)

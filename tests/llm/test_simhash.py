@@ -99,8 +99,8 @@ def test_one_row_of_each_group_stays(spark):
     same, other = " ".join(f"w{i}" for i in range(100)), " ".join(f"v{i}" for i in range(100))
     close = same.replace("w99", "end")
     rows = [(1, same), (2, close), (2, other), (2, other), (None, close), (None, "alone in this table"), (7, "alone in this table too")]
-    out = simhash.keep_one(spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, digest string"))
-    assert out.columns == ["doc_id", "text", "digest"]
+    out = simhash.keep_one(spark.createDataFrame([(i, t, "clash", 1, 2) for i, t in rows], "doc_id long, text string, digest string, __id long, __Hash long"))
+    assert out.columns == ["doc_id", "text", "digest", "__id", "__Hash"]
     assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, same), (2, other), (0, "alone in this table"), (7, "alone in this table too")])
 
 
