@@ -60,7 +60,7 @@ def window(some: list[bytes]) -> bytes:
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     params = zstandard.ZstdCompressionParameters(
         compression_level=3, window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=3, target_length=8,
-        strategy=zstandard.STRATEGY_BTOPT, write_checksum=0, write_content_size=0, write_dict_id=0,
+        strategy=zstandard.STRATEGY_BTLAZY2, write_checksum=0, write_content_size=0, write_dict_id=0,
     )
     data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     data.precompute_compress(compression_params=params)
