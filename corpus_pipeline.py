@@ -7,13 +7,13 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import mix, pieces, pii, quality, simhash
 from lodestar.llm.common import table
+from lodestar.operators.settled import shared_folder
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     The rows between stages are written to the folder that ``spark.checkpoint.dir`` names, and
     dropped once the next stage is written; if a stage fails, all of them are.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
 
     def drop(path: str) -> None:
