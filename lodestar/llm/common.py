@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.settled import settled
+
 #: Deterministic split of labelled rows into folds, by crc32 of the id as text.
 LABEL_FOLDS = 5
 LANG_FOLDS = 3
@@ -23,16 +24,8 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def persist(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset (tests on one machine) is
-    a temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    return settled(df)
 
 
 def fresh(df: DataFrame, name: str) -> str:
