@@ -94,12 +94,14 @@ def _bucketed(docs: DataFrame, buckets: int) -> DataFrame:
     most = (1 << 63) - 1
     bounds = sorted((r.low.ord, r.low.tie) for r in parts.collect())[1:]
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))] or [1]
-    edges = F.array(*(F.struct(F.lit(o).alias("ord"), F.lit(t).alias("tie")) for o, t in bounds + [(most, most)] * (2 * steps[0] - len(bounds))))
+    bounds += [(most, most)] * (2 * steps[0] - len(bounds))
+    # one text each in the plan, which the optimizer turns into an array before any row is read
+    ids, ties = (F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<long>") for i in range(2))
     # binary search: the number of bounds not above the row
     place = F.reduce(
         F.array(*map(F.lit, steps)),
         F.lit(0),
-        lambda at, s: F.when(F.element_at(edges, at + s) <= key, at + s).otherwise(at),
+        lambda at, s: F.when(F.struct(F.element_at(ids, at + s).alias("ord"), F.element_at(ties, at + s).alias("tie")) <= key, at + s).otherwise(at),
     )
     return docs.withColumn("bucket", place)
 
