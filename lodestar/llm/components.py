@@ -13,14 +13,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     out = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     return out.distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = persist(edges.groupBy("hi").agg(F.min("lo").alias("m")))
     moved = edges.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     kept = least.select("hi", F.col("m").alias("lo"))
     return moved.union(kept).distinct()
@@ -30,7 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """``(node, root)`` for every node of an edge: root is the smallest node it can reach.
 
     Alternating large-star and small-star rounds; each round is checkpointed, and only two sums
-    come to the driver to tell when nothing moves any more.  An empty edge list gives no rows.
+    come to the driver to tell when nothing moves any more.  The least neighbours are checkpointed
+    before they are joined: a sum in the same stage as a join would keep Spark from splitting the
+    partition of a node with very many links.  An empty edge list gives no rows.
     """
     current = persist(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()

@@ -325,7 +325,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     folded = per_doc.groupBy("f0").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     nodes = persist(folded.withColumn("node", F.monotonically_increasing_id()))
     rooted = persist(groups(nodes.select("node", "copies", "f0"), max_bits)).join(nodes.drop("copies"), "node")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    least = persist(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))  # so that a large group's join can be split
     mapping = persist(rooted.select("root", "f0").join(least, "root").drop("root"))
     out = per_doc.join(mapping, "f0")
     return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -376,8 +376,10 @@ def _cloud_links(docs: DataFrame, nodes: DataFrame, width: int, similarity: floa
     in a task of its own.
     """
     clouds = nodes.groupBy("root").agg(F.count("*").alias("texts"), F.sum("size").alias("shingles")).where("texts > 1")
-    blocks = F.ceil(F.greatest(F.col("texts") / CLOUD_TEXTS, F.col("shingles") / CLOUD_SHINGLES)).alias("blocks")
-    wanted = persist(nodes.join(clouds.select("root", blocks), "root").select("node", "root", "first_id", "digest", "blocks"))
+    # a few very long texts: no more blocks than texts, as each text goes to every block
+    blocks = F.ceil(F.greatest(F.col("texts") / CLOUD_TEXTS, F.least(F.col("shingles") / CLOUD_SHINGLES, "texts"))).alias("blocks")
+    clouds = persist(clouds.select("root", blocks))  # so that a large cloud's join can be split
+    wanted = persist(nodes.join(clouds, "root").select("node", "root", "first_id", "digest", "blocks"))
     if wanted.count() <= BROADCAST_IDS:  # then the texts stay where they are
         wanted = F.broadcast(wanted)
     body = text_bytes(docs, F.col("doc_id").cast("long").alias("__id"))
@@ -419,7 +421,8 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     roots = connected_components(persist(_cloud_links(docs, members, width, similarity)))
     release(spark)
     rooted = nodes.join(roots, "node", "left").select(*own, "head", F.coalesce("root", "node").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("head").alias("head"))
+    rooted = persist(rooted)
+    heads = persist(rooted.groupBy("root").agg(F.min("head").alias("head")))  # so that a large group's join can be split
     mapping = persist(rooted.select("root", *own).join(heads, "root").drop("root"))
     return per_doc.join(mapping, own).select("doc_id", "text_hash", "head")
 
