@@ -124,7 +124,7 @@ class LanguageModel:
             best[open_[win]], found[open_[win]] = ll[win], got[win]
             open_ = open_[full[open_] - k * penalty[open_] > best[open_]]
         top = found.argmax(1)
-        return [(self.languages[t], float(s)) for t, s in zip(top, found[np.arange(len(top)), top], strict=True)]
+        return [(self.languages[t], min(1.0, float(s))) for t, s in zip(top, found[np.arange(len(top)), top], strict=True)]
 
 
 def fit(docs: DataFrame) -> LanguageModel:

@@ -109,7 +109,8 @@ def attach(rows: DataFrame, leaf: DataFrame, keys: list[str], leaves: int) -> Da
     if leaves <= BROADCAST_LEAVES:
         return rows.join(F.broadcast(leaf), keys)
     salted = leaf.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    some = [c for c in ("doc_id", "tokens", "h") if c in rows.columns]  # not the id alone: many rows may lack one
+    own = rows.withColumn("__salt", F.pmod(F.xxhash64(*some), F.lit(SALTS)).cast("int"))
     return own.join(salted, [*keys, "__salt"]).drop("__salt")
 
 
@@ -190,5 +191,5 @@ def mix(
     weighed = {names[k]: w for k, w in weights.items() if k in names}
     found = cuts(meta, list(keyed), weighed, share, epochs, seed)
     clash = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(F.col("doc_id"), *(F.expr(c).alias(k) for k, c in keyed.items()), *(F.col(c).alias(v) for c, v in clash.items()))
+    rows = docs.select(F.col("doc_id"), *(F.expr(c).alias(k) for k, c in keyed.items()), *(F.col(f"`{c}`").alias(v) for c, v in clash.items()))
     return copies(rows, found, list(keyed), seed).select(*(F.col(v).alias(c) for c, v in clash.items()))
