@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +38,16 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of frames that are gone.
+    """Let go of the shuffle files of frames that are gone, and of the driver's memory that is free.
 
-    Spark drops them when the driver's collector finds that nothing refers to them any more; a
-    driver that makes little garbage may hold them for long, on every executor's disk.
+    Spark drops the files when the driver's collector finds that nothing refers to them any more; a
+    driver that makes little garbage may hold them for long, on every executor's disk.  Python's
+    allocator keeps what has been freed unless it is told, where the C library can be told at all.
     """
     gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LABEL_FOLDS, fold, fresh
+from .common import LABEL_FOLDS, fold, fresh, release
 from .labelled import SAMPLE_CHARS, labelled_sample
 
 FIT_DOCS = {0: 2500, 1: 3500}
@@ -28,6 +28,8 @@ DIM, NONZERO, CONTEXT = 48, 6, 2
 #: Words of the fitting sample with vectors of their own, at most.
 VOCABULARY = 20_000
 HIDDEN, EPOCHS, RATE = 32, 25, 3e-3
+#: Pairs of neighbours whose vectors are added up at once.
+PAIRS = 1 << 14
 #: Words that a Python worker remembers before it starts afresh, and the length of the longest such.
 _KEPT_WORDS, _KEPT_CHARS = 200_000, 64
 
@@ -158,6 +160,7 @@ def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
     number = {w: i for i, w in enumerate(["<rare>", *known])}
     place = np.zeros(max(len(first), 1), np.int64)  # of every token seen; the rare ones share row 0
     place[[first[w] for w in known]] = np.arange(1, len(known) + 1)
+    del tokens, counts, first, kept  # the driver's memory: they hold every word of the sample
     index = np.array([index_vector(w) for w in number])
     context = np.zeros_like(index)
     for i in range(0, len(streams), 250):
@@ -165,8 +168,10 @@ def word_vectors(texts: list[str]) -> dict[str, np.ndarray]:
             pairs = [place[s[:-gap]] * len(number) + place[s[gap:]] for s in streams[i : i + 250] if len(s) > gap]
             both, times = np.unique(np.concatenate([*pairs, np.zeros(0, np.int64)]), return_counts=True)
             left, right = both // len(number), both % len(number)
-            np.add.at(context, left, index[right] * times[:, None])
-            np.add.at(context, right, index[left] * times[:, None])
+            for to, by in ((left, right), (right, left)):
+                for k in range(0, len(both), PAIRS):
+                    part = slice(k, k + PAIRS)
+                    np.add.at(context, to[part], index[by[part]] * times[part, None])
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     return {w: index[i] + context[i] / max(norm[i, 0], 1e-9) for w, i in number.items()}
 
@@ -215,7 +220,9 @@ def fit_texts(sample: list[tuple[str, int]]) -> QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = FIT_DOCS, max_chars: int = SAMPLE_CHARS) -> QualityModel:
     """A model from ``labelled_sample`` by ``labels.quality``; without both classes it scores the prior."""
-    return fit_texts(labelled_sample(docs, labels, "quality", per_class, max_chars))
+    model = fit_texts(labelled_sample(docs, labels, "quality", per_class, max_chars))
+    release(docs.sparkSession)  # the sample's memory, on the driver
+    return model
 
 
 def scored(docs: DataFrame, model: QualityModel, name: str) -> DataFrame:

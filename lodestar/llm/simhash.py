@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, persist, release, text_bytes
-from .components import connected_components
+from .components import Forest, connected_components
 
 SEED = 42
 BITS = 64
@@ -178,33 +178,6 @@ def _dealt(nodes: DataFrame, pieces: int, n: int, block: int) -> DataFrame:
     return rows.withColumn("deal", key).drop("blocks", "other")
 
 
-class Forest:
-    """Sets of numbers below ``n`` that links have joined."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Those of the links that joined two sets."""
-        out = []
-        if len(a):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            for x, y in pairs.tolist():
-                p, q = self.find(x), self.find(y)
-                if p != q:
-                    self.up[max(p, q)] = min(p, q)
-                    out.append((x, y))
-        return out
-
-    def labels(self) -> np.ndarray:
-        return np.array([self.find(x) for x in range(len(self.up))], np.int64)
-
-
 def _runs(key: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by key, most copies first, and where each run of two and more begins and ends."""
     order = np.lexsort((-copies, key))
