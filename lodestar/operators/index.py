@@ -30,6 +30,8 @@ GRAM = 3
 ALTERNATIVES = 64
 #: Files that a scan is told by their numbers, at most; more are joined.
 LISTED = 1000
+#: Numbers that are sent to every executor for that join, at most; for more the files move.
+SENT = 500_000
 #: Code points that are turned into grams at once.
 _CHARS = 1 << 21
 _BITS = 21
@@ -82,34 +84,68 @@ def file_number() -> Column:
     return F.xxhash64("path", "repo")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], list[str]]]:
+    """Files by some _CHARS characters at a time: what comes after path and content in their rows, and their texts."""
+    keys, texts, held = [], [], 0
+    for batch in batches:
+        for path, content, *key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = f"{(content or '').lower()}\n{(path or '').lower()}\n"
+            keys.append(tuple(key))
+            texts.append(text)
+            held += len(text)
+            if held >= _CHARS:
+                yield keys, texts
+                keys, texts, held = [], [], 0
+    if texts:
+        yield keys, texts
+
+
+def _distinct(texts: list[str], start: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams as numbers and the places of the texts that hold them, each pair once, by gram and then by place.
+
+    Each text ends with a line's end.  A pair is sorted as one number, made of the places that its characters have among those that
+    occur; texts of too many different characters for that come in parts.
+    """
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < GRAM:
+        return
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen)
+    bits, low = int(len(alphabet) - 1).bit_length(), int(len(texts) - 1).bit_length()
+    if GRAM * bits + low > 63:
+        half = len(texts) // 2
+        yield from _distinct(texts[:half], start)
+        yield from _distinct(texts[half:], start + half)
+        return
+    inside = points != 10
+    here = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:])
+    if not len(here):
+        return
+    place = (np.cumsum(seen) - 1)[points]
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    pair = ((place[here] << bits | place[here + 1]) << bits | place[here + 2]) << low | owner[here]
+    pair.sort()
+    pair = pair[np.append(True, pair[1:] != pair[:-1])]
+    one = (1 << bits) - 1
+    first, second, third = (alphabet[pair >> low + bits * i & one] for i in (2, 1, 0))
+    yield first << 2 * _BITS | second << _BITS | third, (pair & (1 << low) - 1) + start
+
+
 def postings(corpus: DataFrame) -> DataFrame:
-    """``(gram, file)``: the distinct trigrams of each file's lines and path, in lower case, as numbers."""
-
-    def found(numbers: list[int], texts: list[str]) -> pa.RecordBatch:
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        inside = points != 10
-        here = np.flatnonzero(inside[:-2] & inside[1:-1] & inside[2:]) if len(points) > 2 else np.zeros(0, np.int64)
-        code, which = np.unique(points[here] << 2 * _BITS | points[here + 1] << _BITS | points[here + 2], return_inverse=True)
-        both = np.unique(owner[here] * max(len(code), 1) + which)
-        own = np.array(numbers, np.int64)[both // max(len(code), 1)]
-        return pa.RecordBatch.from_arrays([pa.array(code[both % max(len(code), 1)]), pa.array(own)], ["gram", "file"])
+    """``(gram, file)``: the distinct trigrams of each file's lines and path, in lower case, as numbers.
+
+    They come in the order of their grams for each _CHARS characters of files.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, texts, held = [], [], 0
-        for batch in batches:
-            for number, path, content in zip(*(batch.column(i) for i in range(3)), strict=True):
-                text = f"{(content.as_py() or '').lower()}\n{path.as_py().lower()}\n"
-                numbers.append(number.as_py())
-                texts.append(text)
-                held += len(text)
-                if held >= _CHARS:
-                    yield found(numbers, texts)
-                    numbers, texts, held = [], [], 0
-        if texts:
-            yield found(numbers, texts)
-
-    return corpus.select(file_number().alias("file"), "path", "content").mapInArrow(run, "gram long, file long")
+        for keys, texts in _blocks(batches):
+            numbers = np.array([k for (k,) in keys], np.int64)
+            for code, place in _distinct(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(numbers[place])], ["gram", "file"])
+
+    number = F.col("file") if "file" in corpus.columns else file_number()  # a store has no empty ``repo``
+    return corpus.select("path", "content", number.alias("file")).mapInArrow(run, "gram long, file long")
 
 
 def required(node: Node) -> list[set[str]]:
@@ -167,7 +203,8 @@ class Index:
     def narrowed(self, corpus: DataFrame, query: Query) -> DataFrame | None:
         """``corpus`` rows that the index cannot rule out; None if that is all of them.
 
-        Few files are named to the scan, which then skips pages of a sorted store; more are joined.
+        Few files are named to the scan, which then skips pages of a sorted store; more are joined,
+        where they lie as long as their numbers can be sent.
         """
         keep = candidates(self.postings, query)
         if keep is None:
@@ -175,7 +212,10 @@ class Index:
         keep = settled(keep)
         rows = corpus if "file" in corpus.columns else corpus.withColumn("file", file_number())
         few = [r.file for r in keep.limit(LISTED + 1).collect()]
-        rows = rows.where(F.col("file").isin(few)) if len(few) <= LISTED else rows.join(keep, "file", "left_semi")
+        if len(few) <= LISTED:
+            rows = rows.where(F.col("file").isin(few))
+        else:
+            rows = rows.join(F.broadcast(keep) if keep.count() <= SENT else keep, "file", "left_semi")
         return rows.select(*(F.col(f"`{c}`") for c in corpus.columns))
 
 
@@ -262,17 +302,18 @@ class Store:
     def write(self, rows: DataFrame, kind: str) -> str:
         """A new version of a relation with its postings; an empty overlay has none.
 
-        Files lie in the order of their numbers, and each part's postings in that of their grams, so
-        that a scan for some of them skips the rest; postings stay with the part they came from.
+        Files lie in the order of their numbers, and the postings of each _CHARS characters in that of
+        their grams, so that a scan for some of them skips the rest; postings stay with the part they
+        came from, and no task sorts them.
         """
         if kind == "overlay" and rows.isEmpty():
             return ""
         name = f"{kind}-{uuid.uuid4().hex}"
         numbered = rows.select(*CORPUS.fieldNames()).withColumn("file", file_number())
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        numbered.repartitionByRange(parts, "file").sortWithinPartitions("file").write.partitionBy("repo").parquet(f"{self.root}/{name}")
+        numbered.repartitionByRange(parts, "file").sortWithinPartitions("repo", "file").write.partitionBy("repo").parquet(f"{self.root}/{name}")
         kept = self._files(name)
-        postings(kept).sortWithinPartitions("gram", "file").write.parquet(f"{self.root}/{name}-grams")
+        postings(kept).write.parquet(f"{self.root}/{name}-grams")
         n, chars = kept.agg(F.count("*"), F.sum(F.length(F.coalesce("content", F.lit(""))))).first()
         self._sizes[name] = [n, chars or 0]
         return name
