@@ -34,6 +34,8 @@ LISTED = 1000
 SENT = 500_000
 #: Code points that are turned into grams at once.
 _CHARS = 1 << 21
+#: Rows of counted grams that a task holds before it adds them up.
+_COUNTED = 1 << 18
 _BITS = 21
 
 
@@ -148,6 +150,57 @@ def postings(corpus: DataFrame) -> DataFrame:
     return corpus.select("path", "content", number.alias("file")).mapInArrow(run, "gram long, file long")
 
 
+def gram_files(corpus: DataFrame) -> DataFrame:
+    """``(gram, n_files, first_path)``: for each gram the number of files that hold it and the first of their paths.
+
+    Tasks count the files they read, so what moves is a row for each of a task's grams.  Only rows
+    that share a file with others are taken apart and meet by file and gram.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Table] = []
+        for keys, texts in _blocks(batches):
+            order = sorted(range(len(keys)), key=lambda i: (keys[i][0] is None, keys[i][0] or ""))
+            names = pa.array([keys[i][0] for i in order], pa.string())
+            for code, place in _distinct([texts[i] for i in order]):
+                at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                n = np.diff(np.append(at, len(code)))
+                parts.append(pa.table([pa.array(code[at]), pa.array(n), names.take(pa.array(place[at]))], ["gram", "n_files", "first_path"]))
+            if sum(p.num_rows for p in parts) >= _COUNTED:
+                parts = [_summed(parts)]
+                if parts[0].num_rows >= _COUNTED // 2:
+                    yield from parts.pop().to_batches()
+        if parts:
+            yield from _summed(parts).to_batches()
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in _blocks(batches):
+            paths, repos = (pa.array(c, pa.string()) for c in zip(*keys, strict=True))
+            for code, place in _distinct(texts):
+                at = pa.array(place)
+                yield pa.RecordBatch.from_arrays([pa.array(code), paths.take(at), repos.take(at)], ["gram", "path", "repo"])
+
+    files = corpus.select("path", "content", "path", "repo").toDF("path", "content", "name", "repo").withColumn("file", file_number())
+    twice = files.groupBy("file").count().where("count > 1").select("file")
+    once, shared, few = files, None, [r.file for r in twice.limit(LISTED + 1).collect()]
+    if len(few) > LISTED:
+        twice = settled(twice)
+        once, shared = files.join(twice, "file", "left_anti"), files.join(twice, "file", "left_semi")
+    elif few:
+        once, shared = files.where(~F.col("file").isin(few)), files.where(F.col("file").isin(few))
+    counts = once.select("path", "content", "name").mapInArrow(counted, "gram long, n_files long, first_path string")
+    if shared is not None:
+        rows = shared.select("path", "content", "name", "repo").mapInArrow(told, "gram long, path string, repo string").distinct()
+        counts = counts.unionByName(rows.groupBy("gram").agg(F.count("*").alias("n_files"), F.min("path").alias("first_path")))
+    return counts.groupBy("gram").agg(F.sum("n_files").alias("n_files"), F.min("first_path").alias("first_path"))
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """One row for each gram."""
+    out = pa.concat_tables(parts).group_by("gram").aggregate([("n_files", "sum"), ("first_path", "min")])
+    return out.rename_columns(["gram", "n_files", "first_path"]).combine_chunks()
+
+
 def required(node: Node) -> list[set[str]]:
     """Sets of trigrams one of which any matching file holds in full; an empty set prunes nothing."""
     if isinstance(node, Atom) and node.kind in ("word", "content", "file") and not node.is_regex:

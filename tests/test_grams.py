@@ -2,9 +2,12 @@
 
 import random
 
+import duckdb
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from lodestar import queries as own
 from lodestar.operators import index, search
 from lodestar.plans.query import parse
 from lodestar.schema import CORPUS
@@ -66,3 +69,28 @@ def test_many_candidates(spark, monkeypatch, tmp_path, sent, join):
         assert search.matched(store.numbered(), parse("alpha"), store.index()).count() == 20
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_gram_files_of_odd_tables(spark, monkeypatch, tmp_path, listed):
+    """Documents that repeat a number are one file, and those without one have no path."""
+    monkeypatch.setattr(index, "LISTED", listed)
+    monkeypatch.setattr(index, "_COUNTED", 16)
+    ids = [1, 2, 2, 2, 3, 13, 13, None, None, 5, 6]
+    texts = ["The cat", "the hat", "the hat", "the bat\nsat", "other theme", "the the", "then", "nameless", "nameless too", None, ""]
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["en"] * 10 + [None], "source": ["src"] * 11, "n_chars": pa.array([0] * 11, pa.int64())})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([1, 1, 2], pa.int64()), "text": ["the item", "an item", "x"]}), tmp_path / "benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = own.QUERIES["trigram_postings"](spark, str(tmp_path))
+    want = db.sql(own.ORACLE["trigram_postings"])
+    assert {tuple(r) for r in got.select(*want.columns).collect()} == set(want.fetchall())
+    assert got.count() == got.distinct().count() > 30
+
+
+def test_files_do_not_move_to_meet_their_grams(spark):
+    files = spark.createDataFrame([(f"f{i}", "r", False, None, "alpha beta") for i in range(40)], CORPUS)
+    plan = index.gram_files(files)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
